@@ -63,15 +63,33 @@ def assigned() -> Iterable[int]:
 
 #: First letters of the general categories that make up words: letters, combining marks, digits.
 WORD_KINDS = "LMN"
-_word = None
+#: Beyond the basic plane, letters, marks and digits lie in these ranges only (and seldom occur); pictographs lie outside.
+BEYOND = re.compile("[\U00010000-\U0001efff\U0001f100-\U0001f10c\U0001fbf0-\U0001fbf9\U00020000-\U0010ffff]")
 
 
-def word_pattern() -> re.Pattern:
+class Runs:
+    """Finds runs of characters. Classes with ranges beyond the basic plane are slow, so they serve only the texts that need them."""
+
+    def __init__(self, points: list[int], pattern: str) -> None:
+        self.basic = re.compile(pattern.replace("X", ranges(p for p in points if p < 0x10000)))
+        self.full = re.compile(pattern.replace("X", ranges(points)))
+
+    def of(self, text: str) -> re.Pattern:
+        return self.full if BEYOND.search(text) else self.basic
+
+    def findall(self, text: str) -> list[str]:
+        return self.of(text).findall(text)
+
+
+_word: Runs | None = None
+
+
+def word_pattern() -> Runs:
     """Maximal runs of letters, combining marks and digits. Built once per process."""
     global _word
     if _word is None:
         kind = unicodedata.category
-        _word = re.compile("[" + ranges(p for p in assigned() if kind(chr(p))[0] in WORD_KINDS) + "]+")
+        _word = Runs([p for p in assigned() if kind(chr(p))[0] in WORD_KINDS], "[X]+")
     return _word
 
 

@@ -11,7 +11,6 @@ Nulls stay null, blank texts become ''. Neither is a case in `same_look_pairs`,
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vakya.llm.base import assigned, not_blank, ranges, table, written
+from vakya.llm.base import Runs, assigned, not_blank, table, written
 
 # Letters that look like Latin ones, by alphabet.
 CYRILLIC = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ҮY ԚQ ԜW аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ӏl үy"
@@ -51,9 +50,8 @@ class Transducer(dict):
         self.latin = str.maketrans(LOOKALIKES)
         kind = unicodedata.category
         extend = sorted({p for p in assigned() if kind(chr(p))[0] == "M"} | self.skip | {*range(0x1160, 0x1200)})
-        e = ranges(extend)
-        self.cluster = re.compile(f"[^{e}][{e}]*|[{e}]+")
-        self.odd = re.compile("[" + ranges(sorted(self.skip | {*map(ord, LOOKALIKES)})) + "]")
+        self.cluster = Runs(extend, "[^X][X]*|[X]+")
+        self.odd = Runs(sorted(self.skip | {*map(ord, LOOKALIKES)}), "[X]")
 
     def __missing__(self, cluster: str) -> str:
         plain = unicodedata.normalize("NFKC", cluster.translate(self.drop)).translate(self.drop)
@@ -64,9 +62,8 @@ class Transducer(dict):
         return plain
 
     def form(self, text: str) -> str:
-        if not text.isascii() or self.odd.search(text):
-            if self.odd.search(text) or not unicodedata.is_normalized("NFKC", text):
-                text = self.cluster.sub(lambda m: self[m[0]], text)
+        if self.odd.of(text).search(text) or not unicodedata.is_normalized("NFKC", text):
+            text = self.cluster.of(text).sub(lambda m: self[m[0]], text)
         return " ".join(text.split())
 
     def conflicts(self) -> list[str]:
