@@ -106,5 +106,5 @@ def test_near_pairs_with_hot_words_and_blocks(spark):
     df = spark.createDataFrame(data, "id bigint, text string").selectExpr("id", "text", "0L as word")
     want = brute([(i, t) for i, t in data if i is not None and t])
     assert len(want) > 100
-    assert rows(neardup.near_pairs(df, block=16, common_over=20)) == want
+    assert rows(neardup.near_pairs(df, block=16, cells=64)) == want
     assert rows(neardup.near_pairs(df.limit(0))) == []
