@@ -262,7 +262,7 @@ def _bitmap(seqs: DataFrame) -> np.ndarray:
     return out
 
 
-def near_pairs(posts: DataFrame, t: float = 0.8, least: int = 10, block: int = 2048, cells: int = 1 << 20) -> DataFrame:
+def near_pairs(posts: DataFrame, t: float = 0.8, least: int = 10, block: int = 2048, cells: int = 1 << 19) -> DataFrame:
     """(id, text) to (id_a, id_b), the smaller first: see the module's text.
 
     Posts with null ids, null or blank texts or fewer than `least` distinct words are in no pair; a repeated id counts once.
@@ -270,7 +270,7 @@ def near_pairs(posts: DataFrame, t: float = 0.8, least: int = 10, block: int = 2
     rows = posts.where(F.col("id").isNotNull() & not_blank("text")).select("id", "text")
     bags = written(rows.mapInArrow(_bags(least), "id bigint, seq binary, n int, sketch binary, words array<bigint>"))
     counts = bags.select(F.explode("words").alias("w")).groupBy(F.expr(f"w >> 8 & {cells - 1}").cast("int").alias("cell")).count()
-    counts = counts.select("cell", F.least(F.lit(255), F.round(8 * F.log2("count"))).cast("int").alias("n")).toPandas()
+    counts = counts.select("cell", F.least(F.lit(255), F.round(8 * F.log2("count"))).cast("smallint").alias("n")).toArrow()
     often = np.zeros(cells, np.uint8)
     check_broadcast(cells)
     often[counts["cell"].to_numpy(np.int64)] = counts["n"].to_numpy(np.uint8)
