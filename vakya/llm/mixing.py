@@ -143,7 +143,7 @@ QUERIES = {
 }
 SQL = {
     "p9_found": """
-WITH sizes AS (SELECT doc_id, min(source) AS source, max(coalesce(len(list_filter(string_split_regex(text, '[\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'), x -> x <> '')), 0)) AS size FROM documents GROUP BY doc_id),
+WITH sizes AS (SELECT doc_id, min(source) AS source, max(coalesce(len(list_filter(string_split_regex(text, '[\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'), lambda x: x <> '')), 0)) AS size FROM documents GROUP BY doc_id),
 have AS (SELECT source, sum(size) AS n FROM sizes GROUP BY source)
 SELECT t.source FROM mix_targets t LEFT JOIN have h USING (source)
 WHERE 2000 * coalesce(h.n, 0) * t.max_repeats < t.target_permille * (SELECT sum(size) FROM sizes)""",

@@ -273,7 +273,7 @@ def near_pairs(posts: DataFrame, t: float = 0.8, least: int = 10, block: int = 2
     counts = counts.select("cell", F.least(F.lit(255), F.round(8 * F.log2("count"))).cast("smallint").alias("n")).toArrow()
     often = np.zeros(cells, np.uint8)
     check_broadcast(cells)
-    often[counts["cell"].to_numpy(np.int64)] = counts["n"].to_numpy(np.uint8)
+    often[counts["cell"].to_numpy()] = counts["n"].to_numpy().astype(np.uint8)
     keys = bags.select("id", "words").mapInArrow(_keys(often, t), "word bigint, id bigint, place int")
     keys = keys.repartition("word").sortWithinPartitions("word").mapInArrow(_met, "word bigint, id bigint, place int")
     first = bags.groupBy("seq").agg(F.min("id").alias("id"))
