@@ -251,22 +251,23 @@ def segments(text: str, model: Model, least: int = 5) -> list[tuple[int, int, st
         path.reverse()
         # Stretches too short to be a sentence go with the stretch before or after.
         cuts = [0, *(i for i in range(1, len(path)) if path[i] != path[i - 1]), len(path)]
+        heard = [0]
+        for w in ws:
+            heard.append(heard[-1] + (not w[3]))
         parts = [[a, b, path[a]] for a, b in zip(cuts, cuts[1:])]
         while len(parts) > 1:
-            i = min(range(len(parts)), key=lambda i: sum(not ws[q][3] for q in range(parts[i][0], parts[i][1])))
+            i = min(range(len(parts)), key=lambda i: heard[parts[i][1]] - heard[parts[i][0]])
             a, b, _ = parts[i]
-            if sum(not ws[q][3] for q in range(a, b)) >= least:
+            if heard[b] - heard[a] >= least:
                 break
             q = i - 1 if i == len(parts) - 1 or (i and parts[i - 1][1] - parts[i - 1][0] >= parts[i + 1][1] - parts[i + 1][0]) else i + 1
             parts[q] = [min(a, parts[q][0]), max(b, parts[q][1]), parts[q][2]]
             del parts[i]
-            merged: list[list] = []
-            for p in parts:
-                if merged and merged[-1][2] == p[2]:
-                    merged[-1][1] = p[1]
-                else:
-                    merged.append(p)
-            parts = merged
+            k = min(q, i)
+            for x in (k + 1, k):  # neighbours that now agree become one
+                if 0 < x < len(parts) and parts[x][2] == parts[x - 1][2]:
+                    parts[x - 1][1] = parts[x][1]
+                    del parts[x]
         for a, b, _ in parts:
             sums = [sum(x) for x in zip(*scores[a:b])]
             top = max(sums)

@@ -65,7 +65,7 @@ def kind_of_line(line: str, shape: tuple[str, int], common: dict, word: Runs) ->
     words = word.findall(s)
     if SPEAKER.match(s) and (s.endswith(":") or STAMP.match(s) or len(words) > 4):
         return "" if s.endswith(":") else "prose"
-    dense = s.replace(" ", "")
+    dense = s.replace(" ", "").replace("|", "")
     if len(SYMBOL.findall(dense)) > 0.3 * len(dense) and len(dense) >= 6 and not set(s) <= set("|-:+= "):
         return "junk"
     tokens = s.split()
@@ -139,6 +139,8 @@ def statistics(text: str) -> tuple:
                 again = int(np.fromiter(map(len, words), np.int64, n)[covered].sum()) / size
     tokens = text.split()
     scattered = sum(len(t) == 1 for t in tokens) / len(tokens)
+    (delimiter, _), often = common.most_common(1)[0]
+    ruled = bool(delimiter) and often >= 3 and often >= 0.6 * len(lines)
     broken = len(MOJIBAKE.findall(text)) / dense
     different = len(set(words)) / n if n else 0.0
     divided = [c for d, c in divisions if d in ("|", " · ", " » ", " › ", " > ")]
@@ -146,7 +148,7 @@ def statistics(text: str) -> tuple:
     menu = len(divided) > 0.5 * len(lines) and len(flat) >= 8 and len(set(flat)) < 0.5 * len(flat) and not any(re.search(r"\d", x) for x in flat)
     if (
         broken > 0.3
-        or (scattered > 0.55 and dense >= 20)
+        or (scattered > 0.55 and dense >= 20 and not ruled)
         or (n >= 12 and again > 0.8 and different < 0.25)
         or (n >= 6 and different < 0.12 and len(words) < 400)
         or (len(lines) >= 6 and dup_lines > 0.6)
