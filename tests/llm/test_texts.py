@@ -48,8 +48,7 @@ def found(text):
 def test_personal_data(text, want):
     got = found(text)
     assert [k for _, k in got] == [k for _, k in want]
-    if text.isascii():
-        assert got == [(t.strip() if False else t, k) for t, k in want] or [t.strip() for t, _ in got] == [t.strip() for t, _ in want]
+    assert [t.strip() for t, _ in got] == [t.strip() for t, _ in want]
 
 
 def test_redaction_keeps_the_rest():
