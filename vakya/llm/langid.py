@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from vakya.llm.base import check_broadcast, deep_size, not_blank, table, word_pattern
 from vakya.llm.looks import transducer
-from vakya.llm.pii import ADDRESS, AT, DISGUISED, HAS_STREET
+from vakya.llm.pii import ADDRESS, DISGUISED, HAS_STREET, SIGN
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Codes of languages, two and three letters.
@@ -50,7 +50,7 @@ def script_of(word: str) -> str:
 
 def words_in(text: str) -> list[tuple[str, int, int, bool]]:
     """(word in lower case, start, end, is a name) of the plain form, in order; what doesn't count is left out."""
-    if AT.search(text) and ("example" in text or "[" in text or "(" in text or " dot " in text or "@" in text):
+    if SIGN.search(text) or " dot " in text or "[" in text or "(" in text:
         text = DISGUISED.sub(lambda m: " " * len(m[0]), text)
     if HAS_STREET.search(text):
         text = ADDRESS.sub(lambda m: " " * len(m[0]), text)
