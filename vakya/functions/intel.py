@@ -108,3 +108,32 @@ def json_string(x: Column | str) -> Column:
     for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         t = F.replace(t, F.lit(a), F.lit(b))
     return F.coalesce(F.concat(F.lit('"'), t, F.lit('"')), F.lit("null"))
+
+
+FALLBACK = "english_text string, sentiment string, confidence string"
+
+
+def fallback_result(reply: Column | str, source: Column | str, lang: Column | str) -> Column:
+    """A struct (english_text, sentiment, confidence, failure) from the JSON text of a reply that translates and judges at once.
+
+    It must have those three keys and no others, English text that can be a translation, a known label and a number in [0, 1]."""
+    from vakya.functions.lexicons import LABELS
+    from vakya.functions.quality import unusable_reason
+
+    v = F.try_parse_json(col(reply))
+    t = F.when(F.schema_of_variant(v).startswith("OBJECT"), F.to_json(v))
+    r = F.from_json(t, FALLBACK)
+    keys = F.array_sort(F.json_object_keys(t))
+    kind = F.schema_of_variant(F.try_variant_get(v, "$.confidence", "variant"))
+    number = kind.startswith("BIGINT") | kind.startswith("DOUBLE") | kind.startswith("DECIMAL")
+    confidence = r["confidence"].try_cast("double")
+    why = (
+        F.when(t.isNull(), "no object")
+        .when(~keys.eqNullSafe(F.array(F.lit("confidence"), F.lit("english_text"), F.lit("sentiment"))), "keys")
+        .when(F.coalesce(squeezed_ends(r["english_text"]), F.lit("")) == "", "no text")
+        .when(~F.coalesce(r["sentiment"].isin(*LABELS), F.lit(False)), "sentiment")
+        .when(~F.coalesce(number, F.lit(False)) | ~F.coalesce(confidence.between(0, 1), F.lit(False)), "confidence")
+        .when(col(lang) != "en", unusable_reason(col(source), r["english_text"]))
+    )
+    good = why.isNull()
+    return F.struct(F.when(good, squeezed_ends(r["english_text"])).alias("english_text"), F.when(good, r["sentiment"]).alias("sentiment"), F.when(good, confidence).alias("confidence"), why.alias("failure"))

@@ -81,3 +81,27 @@ def json_rows(df: DataFrame, order: str | None = None) -> DataFrame:
     """(json): each row as a JSON object, in order."""
     j = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"), *([F.col(order).alias("_o")] if order else []))
     return j.orderBy("_o").select("json") if order else j
+
+
+def translations_table(df: DataFrame, key: str, model: str, models: list[str], text: str = "english_text", time: str = "translation_time_ms", base: list[str] | None = None, selected: str | None = None) -> DataFrame:
+    """A row per post: its own columns, each model's translation and time, and which model was chosen."""
+    wide = df.groupBy(key).pivot(model, models).agg(F.first(text).alias("translation"), F.first(time).alias("time_ms"))
+    own = df.groupBy(key).agg(*(F.first(c).alias(c) for c in base or []))
+    out = own.join(wide, key)
+    return out.withColumn("selected_pipeline", F.lit(selected)) if selected else out
+
+
+def predictions_table(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The input's columns and the result's, arrays joined by '|', fit for CSV."""
+    kinds = dict(df.dtypes)
+    return df.select(*(F.array_join(F.col(c).cast("array<string>"), "|").alias(c) if kinds[c].startswith("array") else F.col(c) for c in columns))
+
+
+def accuracy_line(df: DataFrame, truth: str, pred: str, time: str = "total_time_ms") -> str:
+    """Accuracy, macro F1 and mean time in one line."""
+    from vakya.operators import metrics
+
+    a = metrics.averages(metrics.per_class(metrics.confusion(df, truth, pred))).first()
+    ms = df.agg(F.avg(time)).first()[0]
+    show = lambda x, p: "n/a" if x is None else f"{x:.{p}f}"
+    return f"accuracy {show(a['accuracy'], 4)}, macro F1 {show(a['f1_macro'], 4)}, {show(ms, 1)} ms a post"
