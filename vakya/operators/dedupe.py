@@ -56,6 +56,21 @@ def mark_duplicates(df: DataFrame, keys: list[str], order: str, signal: str = "d
     return j.withColumn("signals", F.when(F.col(order) > F.col("_first"), F.array_append("signals", F.lit(signal))).otherwise(F.col("signals"))).select(*df.columns)
 
 
-def batches(df: DataFrame, order: str, size: int, group: list[str]) -> DataFrame:
+def ranked(df: DataFrame, order: str, by: list[str], name: str = "rank", bins: int = 4096) -> DataFrame:
+    """Adds the 0-based rank by a whole-number column within each group, ties in any order.
+
+    Values are cut into bins, which are counted and summed up first, so that no task ranks a whole group. Nulls of the order come first."""
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    width = max(1, ((hi or 0) - (lo or 0)) // bins + 1)
+    b = df.withColumn("_bin", F.coalesce(F.floor((F.col(order) - F.lit(lo or 0)) / width), F.lit(-1)))
+    n = b.groupBy(*by, "_bin").agg(F.count("*").alias("_n"))
+    n = n.withColumn("_base", F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    right = n.select(*(F.col(k).alias(f"_{k}") for k in by), F.col("_bin").alias("_b"), "_base")
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by] + [F.col("_bin") == F.col("_b")]
+    inside = F.row_number().over(W.partitionBy(*by, "_bin").orderBy(order)) - 1
+    return b.withColumn("_in", inside).join(right, on).select(*df.columns, (F.col("_base") + F.col("_in")).alias(name))
+
+
+def batches(df: DataFrame, order: str, size: int, by: list[str]) -> DataFrame:
     """Adds batch: the number of a row's batch of `size` in the order, within its group."""
-    return df.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(*group).orderBy(order)) - 1) / size))
+    return ranked(df, order, by, "_rank").withColumn("batch", F.floor(F.col("_rank") / size)).drop("_rank")

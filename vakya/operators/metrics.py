@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 from vakya.functions.lexicons import LABELS
 
 
+def _with_labels(df: DataFrame, by: list[str], cells) -> DataFrame:
+    """Each group, or one row without groups, with each cell."""
+    groups = df.select(*by).distinct() if by else df.sparkSession.range(1)
+    return groups.select(*by, F.inline(cells))
+
+
 def class_counts(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
     """(by..., label, n) with zeros, in label order."""
     by = by or []
-    every = df.sparkSession.createDataFrame([(x, i) for i, x in enumerate(LABELS)], "label string, label_id int")
-    groups = df.select(*by).distinct().crossJoin(F.broadcast(every)) if by else every
+    groups = _with_labels(df, by, F.array(*(F.struct(F.lit(x).alias("label"), F.lit(i).alias("label_id")) for i, x in enumerate(LABELS))))
     n = df.where(F.col(label).isin(*LABELS)).groupBy(*by, F.col(label).alias("label")).agg(F.count("*").alias("n"))
     return groups.join(n, [*by, "label"], "left").select(*by, "label", "label_id", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -25,9 +30,7 @@ def confusion(df: DataFrame, truth: str, pred: str, by: list[str] | None = None)
     by = by or []
     rows = df.where(F.col(truth).isin(*LABELS) & F.col(pred).isin(*LABELS))
     n = rows.groupBy(*by, F.col(truth).alias("truth"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
-    spark = df.sparkSession
-    cells = spark.createDataFrame([(a, b) for a in LABELS for b in LABELS], "truth string, pred string")
-    grid = n.select(*by).distinct().crossJoin(F.broadcast(cells)) if by else cells
+    grid = _with_labels(n, by, F.array(*(F.struct(F.lit(a).alias("truth"), F.lit(b).alias("pred")) for a in LABELS for b in LABELS)))
     return grid.join(n, [*by, "truth", "pred"], "left").select(*by, "truth", "pred", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -126,9 +129,9 @@ def roc_curve(df: DataFrame, truth: str, probs: str) -> DataFrame:
     s = _below(_by_score(_long(df, truth, probs, []), "score", F.array(*map(F.lit, LABELS))[F.col("k")] == F.col(truth), []), [])
     bins = s.groupBy("_bin").agg(F.sum("p").alias("_p")).withColumn("_pb", F.coalesce(F.sum("_p").over(W.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     below_p = F.col("_pb") + F.coalesce(F.sum("p").over(W.partitionBy("_bin").orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    t = s.agg(F.sum("p").alias("_all_p"), F.sum("n").alias("_all_n"))
-    j = s.join(bins.drop("_p"), "_bin").withColumn("cp", below_p).crossJoin(F.broadcast(t))
-    return j.select("s", ((F.col("_all_n") - F.col("cn")) / F.col("_all_n")).alias("fpr"), ((F.col("_all_p") - F.col("cp")) / F.col("_all_p")).alias("tpr"))
+    p, n = s.agg(F.sum("p"), F.sum("n")).first()
+    share = lambda all_, below: F.when(F.lit(bool(all_)), (F.lit(all_ or 1) - F.col(below)) / F.lit(all_ or 1))
+    return s.join(bins.drop("_p"), "_bin").withColumn("cp", below_p).select("s", share(n, "cn").alias("fpr"), share(p, "cp").alias("tpr"))
 
 
 def micro_auc(df: DataFrame, truth: str, probs: str) -> DataFrame:

@@ -90,9 +90,9 @@ def chrf(df: DataFrame, hyp: str, ref: str, by: list[str] | None = None) -> Data
 
 def agreement(df: DataFrame, a: str, b: str, either: Column) -> DataFrame:
     """(bleu, chrf): the mean of both directions over the rows that either system translated."""
-    rows = df.where(either)
-    one = lambda f, name: f(rows, a, b).withColumnRenamed(name, "x").crossJoin(F.broadcast(f(rows, b, a).withColumnRenamed(name, "y"))).select(((F.col("x") + F.col("y")) / 2).alias(name))
-    return one(bleu, "bleu").crossJoin(F.broadcast(one(chrf, "chrf")))
+    both = F.array(*(F.struct(F.lit(d).alias("d"), F.col(x).alias("h"), F.col(y).alias("r")) for d, x, y in ((1, a, b), (2, b, a))))
+    rows = df.where(either).select(F.inline(both))
+    return bleu(rows, "h", "r", ["d"]).join(chrf(rows, "h", "r", ["d"]), "d").agg(F.avg("bleu").alias("bleu"), F.avg("chrf").alias("chrf"))
 
 
 def evaluate_translation(df: DataFrame, hyp: str, ref: str, by: list[str], translated: str = "was_translated", time: str = "translation_time_ms", scorer=None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vakya.functions.text import metric_text
@@ -43,8 +44,7 @@ def side_by_side(df: DataFrame, key: str, model: str, models: list[str], values:
 
 def heat_map(cells: DataFrame) -> DataFrame:
     """Confusion cells with `light_text`: whether a cell is dark, above 0.55 of the largest."""
-    top = cells.agg(F.max("n").alias("_top"))
-    return cells.crossJoin(F.broadcast(top)).select(*cells.columns, (F.col("n") > 0.55 * F.col("_top")).alias("light_text"))
+    return cells.withColumn("light_text", F.col("n") > 0.55 * F.max("n").over(W.partitionBy()))  # nine cells
 
 
 def markdown(df: DataFrame, limit: int = 1000) -> str:

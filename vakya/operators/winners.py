@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SENTIMENT = (("f1_macro", "Macro F1", True), ("accuracy", "Accuracy", True), ("avg_time_ms", "Inference time", False))
@@ -15,8 +16,7 @@ def winner(df: DataFrame, model: str, criteria=SENTIMENT, places: int = 4) -> Da
     A criterion missing (null or NaN) in any row doesn't count."""
     use = [c for c, _, _ in criteria]
     r = df.withColumns({f"_{c}": F.round(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), places) for c in use})
-    whole = r.agg(*(F.bool_and(F.col(f"_{c}").isNotNull()).alias(f"ok_{c}") for c in use))
-    r = r.crossJoin(F.broadcast(whole))
+    r = r.withColumns({f"ok_{c}": F.bool_and(F.col(f"_{c}").isNotNull()).over(W.partitionBy()) for c in use})  # one row per model
     key = [F.when(F.col(f"ok_{c}"), F.col(f"_{c}") * (-1 if up else 1)).otherwise(F.lit(0.0)) for c, _, up in criteria]
     return r.withColumn("_k", F.struct(*key, model)).agg(F.min_by(F.struct(*df.columns), "_k").alias("w")).select("w.*")
 
