@@ -125,8 +125,7 @@ def statistics(text: str) -> tuple:
         (a, b), c = pairs.most_common(1)[0]
         top = min(1.0, c * (len(a) + len(b)) / size) if c > 1 else 0.0
         if n >= 5:
-            known: dict[str, int] = {}
-            ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint64, n)
+            ids = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
             grams = ids[:-4]
             for k in range(1, 5):
                 grams = grams * np.uint64(0x9E3779B97F4A7C15) + ids[k : n - 4 + k]
@@ -138,10 +137,10 @@ def statistics(text: str) -> tuple:
                     covered[at + k] = True
                 again = int(np.fromiter(map(len, words), np.int64, n)[covered].sum()) / size
     tokens = text.split()
-    scattered = sum(len(t) == 1 for t in tokens) / len(tokens)
+    scattered = sum(map((1).__eq__, map(len, tokens))) / len(tokens)
     (delimiter, _), often = common.most_common(1)[0]
     ruled = bool(delimiter) and often >= 3 and often >= 0.6 * len(lines)
-    broken = len(MOJIBAKE.findall(text)) / dense
+    broken = 0.0 if text.isascii() else len(MOJIBAKE.findall(text)) / dense
     different = len(set(words)) / n if n else 0.0
     divided = [c for d, c in divisions if d in ("|", " · ", " » ", " › ", " > ")]
     flat = [x.strip().lower() for c in divided for x in c if x.strip()]
@@ -162,7 +161,7 @@ def statistics(text: str) -> tuple:
         kind = best if share[best] > 0.5 else "prose"
         if kind == "prose" and share["table"] + share["list"] > 0.6 and share["prose"] < 0.4:
             kind = best
-    return (n, size / n if n else 0.0, symbols, ends, sum(w in COMMON for w in words) / n if n else 0.0, dup_lines, dup_paras, top, again, share["list"], share["table"], kind)
+    return (n, size / n if n else 0.0, symbols, ends, sum(map(COMMON.__contains__, words)) / n if n else 0.0, dup_lines, dup_paras, top, again, share["list"], share["table"], kind)
 
 
 NAMES = ["n_words", "mean_word_length", "symbol_ratio", "end_punctuation_share", "common_word_share", "duplicate_line_share", "duplicate_paragraph_share", "top_bigram_share", "repeated_ngram_share", "list_share", "table_share", "kind"]
