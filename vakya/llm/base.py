@@ -30,10 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_swept: set[str] = set()
+
+
+def _sweep(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001, S110
+        pass  # the session is gone; the folder bears the application's id
+
+
 def written(df: DataFrame) -> DataFrame:
-    """`df` as a table in the shared folder: it's computed once and survives the loss of executors."""
+    """`df` as a table in the shared folder: it's computed once and survives the loss of executors. Removed when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vakya-{uuid.uuid4().hex}"
+    home = f"{shared_dir(spark)}/vakya-{spark.sparkContext.applicationId}"
+    if home not in _swept:
+        _swept.add(home)
+        atexit.register(_sweep, spark, home)
+    path = f"{home}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

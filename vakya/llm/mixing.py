@@ -83,7 +83,7 @@ def schedule(sizes: DataFrame, plan: list[dict], block: int = 8192, seed: int =
     spark = sizes.sparkSession
     to = spark.createDataFrame([(p["source"], float(p["get"]), p["passes"]) for p in plan if p["get"] > 0], "source string, get double, passes int")
     docs = sizes.where("size > 0").join(F.broadcast(to), "source")
-    docs = docs.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1))).withColumn("key", F.xxhash64("doc_id", "pass", F.lit(seed))).withColumn("bin", F.shiftrightunsigned("key", 54))
+    docs = docs.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1))).withColumn("key", F.xxhash64("doc_id", "pass", F.lit(seed))).withColumn("bin", F.shiftrightunsigned("key", 50))
     docs = written(docs.select("doc_id", "source", "get", "size", "pass", "key", "bin"))
     earlier = W.partitionBy("source").orderBy("pass", "bin").rowsBetween(W.unboundedPreceding, -1)
     bins = docs.groupBy("source", "pass", "bin").agg(F.sum("size").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")

@@ -130,7 +130,7 @@ def quota_sample(posts: DataFrame, targets: DataFrame, one_in: int = 10, seed: i
     """(id, platform, topic, ground_truth_sentiment) of the sample, the keys as the targets write them."""
     ids, report = _plan(posts, targets, one_in)
     to = report.select(*(F.lower(F.trim(k)).alias(k) for k in KEYS), *(F.col(k).alias(f"as_{k}") for k in KEYS), "taken")
-    keyed = written(ids.join(F.broadcast(to), [*KEYS]).withColumn("key", F.xxhash64("id", F.lit(seed))).withColumn("prefix", F.shiftrightunsigned("key", 52)))
+    keyed = written(ids.join(F.broadcast(to), [*KEYS]).withColumn("key", F.xxhash64("id", F.lit(seed))).withColumn("prefix", F.shiftrightunsigned("key", 50)))
     before = W.partitionBy(*KEYS).orderBy("prefix").rowsBetween(W.unboundedPreceding, -1)
     steps = keyed.groupBy(*KEYS, "prefix", "taken").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     steps = steps.where("before < taken").withColumn("whole", F.expr("before + n <= taken")).drop("n", "taken")
