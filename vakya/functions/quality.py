@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vakya.functions.lexicons import FLORES, MAX_RATIO, NEGATION, NEGATIVE, POSITIVE, REPEAT_RATIO, SOURCE_NEGATION, SOURCE_NEGATIVE, SOURCE_POSITIVE
 from vakya.functions.roman import polarity_tokens
 from vakya.functions.script import arabic_ratio
-from vakya.functions.text import col, lookup, squeezed_ends, words
+from vakya.functions.text import col, let, lookup, squeezed_ends, words
 
 
 def english_cores(x: Column | str) -> Column:
@@ -36,33 +36,56 @@ def effective_polarity(pos: Column, neg: Column, negated: Column) -> Column:
 
 
 def polarity_preserved(source: Column | str, target: Column | str) -> Column:
-    s, t = polarity_tokens(source), english_cores(target)
-    of = effective_polarity(_any(s, SOURCE_POSITIVE), _any(s, SOURCE_NEGATIVE), _any(s, SOURCE_NEGATION))
-    to = effective_polarity(_any(t, POSITIVE), _any(t, NEGATIVE), _any(t, NEGATION))
-    return F.when(F.size(s) == 0, True).when(of == "negation_only", _any(t, NEGATION)).when(~of.isin("pos", "neg"), True).when(to == "none", False).otherwise(~(to.isin("pos", "neg") & (to != of)))
+    flags = lambda t, p, n, g: F.struct(effective_polarity(_any(t, p), _any(t, n), _any(t, g)).alias("of"), F.size(t).alias("n"), _any(t, NEGATION).alias("negated"))
+    both = F.struct(
+        let(polarity_tokens(source), lambda s: flags(s, SOURCE_POSITIVE, SOURCE_NEGATIVE, SOURCE_NEGATION)).alias("s"),
+        let(english_cores(target), lambda t: flags(t, POSITIVE, NEGATIVE, NEGATION)).alias("t"),
+    )
+
+    def decide(v: Column) -> Column:
+        of, to = v["s"]["of"], v["t"]["of"]
+        return (
+            F.when(v["s"]["n"] == 0, True)
+            .when(of == "negation_only", v["t"]["negated"])
+            .when(~of.isin("pos", "neg"), True)
+            .when(to == "none", False)
+            .otherwise(~(to.isin("pos", "neg") & (to != of)))
+        )
+
+    return let(both, decide)
 
 
 def top_share(x: Column | str) -> Column:
-    """The share of the commonest token, among eight tokens or more; else 0."""
-    w = words(F.lower(col(x)))
-    most = F.array_max(F.transform(F.array_distinct(w), lambda a: F.size(F.filter(w, lambda b: b == a))))
-    return F.when(F.size(w) >= 8, most / F.size(w)).otherwise(F.lit(0.0))
+    """The share of the commonest token, among eight tokens or more; else 0. Tokens are sorted, so equal ones are runs."""
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def step(a: Column, w: Column) -> Column:
+        run = F.when(w == a["last"], a["run"] + 1).otherwise(F.lit(1))
+        return F.struct(w.alias("last"), run.alias("run"), F.greatest(a["most"], run).alias("most"))
+
+    most = lambda w: F.aggregate(F.array_sort(w), start, step, lambda a: a["most"])
+    return let(words(F.lower(col(x))), lambda w: F.when(F.size(w) >= 8, most(w) / F.size(w)).otherwise(F.lit(0.0)))
 
 
 def unusable_reason(source: Column | str, target: Column | str) -> Column:
     """Why a translation can't be one, by the first rule that says so; null if it can."""
-    s, t = squeezed_ends(F.coalesce(col(source), F.lit(""))), squeezed_ends(F.coalesce(col(target), F.lit("")))
-    n = F.regexp_count(t, F.lit(r"\p{L}"))
-    return (
-        F.when(t == "", "empty")
-        .when(F.lower(s) == F.lower(t), "unchanged")
-        .when(n == 0, "no letters")
-        .when(F.regexp_count(t, F.lit("[A-Za-z]")) / F.when(n > 0, n) < 0.6, "not latin")
-        .when((arabic_ratio(s) >= 0.5) & (arabic_ratio(t) >= 0.2), "arabic left")
-        .when(F.length(t) > F.greatest(F.lit(256), F.floor(F.length(s) * MAX_RATIO)), "too long")
-        .when(top_share(t) >= REPEAT_RATIO, "repeats")
-        .when(~polarity_preserved(s, t), "polarity")
-    )
+
+    def decide(v: Column) -> Column:
+        s, t, n = v["s"], v["t"], v["n"]
+        return (
+            F.when(t == "", "empty")
+            .when(F.lower(s) == F.lower(t), "unchanged")
+            .when(n == 0, "no letters")
+            .when(F.regexp_count(t, F.lit("[A-Za-z]")) / F.when(n > 0, n) < 0.6, "not latin")
+            .when((arabic_ratio(s) >= 0.5) & (arabic_ratio(t) >= 0.2), "arabic left")
+            .when(F.length(t) > F.greatest(F.lit(256), F.floor(F.length(s) * MAX_RATIO)), "too long")
+            .when(top_share(t) >= REPEAT_RATIO, "repeats")
+            .when(~polarity_preserved(s, t), "polarity")
+        )
+
+    ends = lambda x: squeezed_ends(F.coalesce(col(x), F.lit("")))
+    bound = let(F.struct(ends(source).alias("s"), ends(target).alias("t")), lambda v: F.struct(v["s"].alias("s"), v["t"].alias("t"), F.regexp_count(v["t"], F.lit(r"\p{L}")).alias("n")))
+    return let(bound, decide)
 
 
 def route(lang: Column | str) -> Column:

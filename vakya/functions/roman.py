@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vakya.functions.lexicons import CUE_LANG, FLORES, LATIN_LABELS, PRESERVED, SOURCE_NEGATION, SOURCE_NEGATIVE, SOURCE_POSITIVE, TELUGU, URDU, URDU_KEPT
+from vakya.functions.lexicons import CUE_LANG, CUES, FLORES, LATIN_LABELS, PRESERVED, SOURCE_NEGATION, SOURCE_NEGATIVE, SOURCE_POSITIVE, TELUGU, URDU, URDU_KEPT
 from vakya.functions.script import extract_latin, is_latin, latin_ratio, unique_language
-from vakya.functions.text import col, lookup, words
+from vakya.functions.text import col, let, lookup, words
 
 CORE = r"^([^A-Za-z]*)([A-Za-z]+)([^A-Za-z]*)$"
 
@@ -18,7 +18,16 @@ def collapsed(x: Column) -> Column:
 
 
 def _in(x: Column, of) -> Column:
-    return F.array_contains(F.array(*map(F.lit, of)), x)
+    """Membership in a fixed set, which Spark hashes."""
+    return x.isin(*of)
+
+
+def _cue(x: Column) -> Column:
+    """The language that a word tells, if any."""
+    out = F
+    for lang, ws in CUES.items():
+        out = out.when(_in(x, ws.split()), lang)
+    return out
 
 
 def is_preserved(x: Column) -> Column:
@@ -36,9 +45,9 @@ def cue_hits(x: Column | str) -> Column:
     """An array of (key, lang): cue words, looked up as written and with repeated letters once."""
     found = F.transform(
         F.filter(cores(x), lambda c: ~is_preserved(c)),
-        lambda c: F.when(lookup(CUE_LANG, F.lower(c)).isNotNull(), F.lower(c)).when(lookup(CUE_LANG, collapsed(c)).isNotNull(), collapsed(c)),
+        lambda c: F.when(_in(F.lower(c), CUE_LANG), F.lower(c)).when(_in(collapsed(c), CUE_LANG), collapsed(c)),
     )
-    return F.transform(F.filter(found, lambda k: k.isNotNull()), lambda k: F.struct(k.alias("key"), lookup(CUE_LANG, k).alias("lang")))
+    return F.transform(F.filter(found, lambda k: k.isNotNull()), lambda k: F.struct(k.alias("key"), _cue(k).alias("lang")))
 
 
 def cue_count(x: Column | str) -> Column:
@@ -47,8 +56,7 @@ def cue_count(x: Column | str) -> Column:
 
 def cue_language(x: Column | str) -> Column:
     """The one language that all cues tell, else null."""
-    langs = F.array_distinct(F.transform(cue_hits(x), lambda h: h["lang"]))
-    return F.when(F.size(langs) == 1, langs[0])
+    return let(F.array_distinct(F.transform(cue_hits(x), lambda h: h["lang"])), lambda langs: F.when(F.size(langs) == 1, langs[0]))
 
 
 def residual(x: Column | str) -> Column:
@@ -106,15 +114,18 @@ def refine_language(x: Column | str, lang: Column | str, better) -> Column:
     """A detected language, put right by scripts and by `better`: a function from the Latin text to a language or null."""
     t, lang = col(x), col(lang)
     unsure = lang.isin("en", "unknown")
-    unique = unique_language(t)
     probe = F.when(is_latin(t), t).when(unsure & (latin_ratio(t) >= 0.15), extract_latin(t))
-    new = better(probe)
-    return (
-        F.when(unsure & unique.isNotNull(), unique)
-        .when(probe.isNull() | (F.trim(probe) == "") | new.isNull(), lang)
-        .when(~unsure & (new == "en"), lang)
-        .otherwise(new)
-    )
+
+    def decide(v: Column) -> Column:
+        return (
+            F.when(unsure & v["unique"].isNotNull(), v["unique"])
+            .when(v["blank"] | v["new"].isNull(), lang)
+            .when(~unsure & (v["new"] == "en"), lang)
+            .otherwise(v["new"])
+        )
+
+    seen = let(probe, lambda p: F.struct(unique_language(t).alias("unique"), (p.isNull() | (F.trim(p) == "")).alias("blank"), better(p).alias("new")))
+    return let(seen, decide)
 
 
 def roman_language(x: Column | str, ranked: Column | str, bert: Column | str, rest: Column | str) -> Column:

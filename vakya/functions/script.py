@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vakya.functions.lexicons import CODE_MIX, SCRIPT_LANG
 from vakya.functions.rx import BLOCK_IN, LATIN_IN, WS_IN
-from vakya.functions.text import col, lookup, squeezed
+from vakya.functions.text import col, let, lookup, squeezed
 
 INDIC = [k for k in BLOCK_IN if k != "latin"]
 
@@ -29,8 +29,8 @@ def _ranked(x: Column | str, names: list[str]) -> Column:
 
 def detect_script(x: Column | str) -> Column:
     """The dominant script, 'unknown' where there is none; null stays null."""
-    top = _ranked(x, list(BLOCK_IN))
-    return F.when(top["n"] > 0, top["script"]).when(col(x).isNotNull(), F.lit("unknown"))
+    name = lambda top: F.when(top["n"] > 0, top["script"]).when(top["n"].isNotNull(), F.lit("unknown"))
+    return let(_ranked(x, list(BLOCK_IN)), name)
 
 
 def is_latin(x: Column | str) -> Column:
@@ -39,8 +39,8 @@ def is_latin(x: Column | str) -> Column:
 
 def latin_ratio(x: Column | str) -> Column:
     """Latin letters to all characters with a script; 0 where there are none."""
-    latin, other = count_in(x, LATIN_IN), count_in(x, "".join(BLOCK_IN[k] for k in INDIC))
-    return F.when(latin + other == 0, F.lit(0.0)).otherwise(latin / (latin + other))
+    both = F.struct(count_in(x, LATIN_IN).alias("a"), count_in(x, "".join(BLOCK_IN[k] for k in INDIC)).alias("b"))
+    return let(both, lambda n: F.when(n["a"] + n["b"] == 0, F.lit(0.0)).otherwise(n["a"] / (n["a"] + n["b"])))
 
 
 def extract_latin(x: Column | str) -> Column:
@@ -50,9 +50,8 @@ def extract_latin(x: Column | str) -> Column:
 
 def unique_language(x: Column | str, least: float = CODE_MIX) -> Column:
     """The language of the most frequent script that has but one, if it has this share of all characters with a script."""
-    top = _ranked(x, list(SCRIPT_LANG))
     total = count_in(x, "".join(BLOCK_IN.values()))
-    return F.when((top["n"] > 0) & (top["n"] / total >= least), lookup(SCRIPT_LANG, top["script"]))
+    return let(_ranked(x, list(SCRIPT_LANG)), lambda top: F.when((top["n"] > 0) & (top["n"] / total >= least), lookup(SCRIPT_LANG, top["script"])))
 
 
 def letters_in(x: Column | str, inside: str) -> Column:
@@ -62,10 +61,9 @@ def letters_in(x: Column | str, inside: str) -> Column:
 
 def script_mix(x: Column | str) -> Column:
     """The smaller of Latin and Indic letters as a share of both; 0 where there are none."""
-    latin, indic = letters_in(x, r"\x{41}-\x{24f}"), letters_in(x, "".join(BLOCK_IN[k] for k in INDIC))
-    return F.when(latin + indic == 0, F.lit(0.0)).otherwise(F.least(latin, indic) / (latin + indic))
+    both = F.struct(letters_in(x, r"\x{41}-\x{24f}").alias("a"), letters_in(x, "".join(BLOCK_IN[k] for k in INDIC)).alias("b"))
+    return let(both, lambda n: F.when(n["a"] + n["b"] == 0, F.lit(0.0)).otherwise(F.least(n["a"], n["b"]) / (n["a"] + n["b"])))
 
 
 def arabic_ratio(x: Column | str) -> Column:
-    n = F.regexp_count(col(x), F.lit(r"\p{L}"))
-    return F.when(n == 0, F.lit(0.0)).otherwise(letters_in(x, r"\x{600}-\x{6ff}") / n)
+    return let(F.regexp_count(col(x), F.lit(r"\p{L}")), lambda n: F.when(n == 0, F.lit(0.0)).otherwise(letters_in(x, r"\x{600}-\x{6ff}") / n))

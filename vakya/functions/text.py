@@ -19,6 +19,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, f) -> Column:
+    """f of a value that is worked out once a row, however often f uses it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def lookup(pairs: dict[str, str], key: Column) -> Column:
     """The value of a small fixed table, null for other keys."""
     return F.create_map(*[F.lit(x) for p in pairs.items() for x in p])[key]
