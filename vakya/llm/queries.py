@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from vakya.llm import abuse, formatdup, langid, leaks, looks, mixing, neardup, pii, quality, quota
 
-MODULES = ("pii", "formatdup", "quota", "abuse", "looks", "langid", "neardup", "leaks", "mixing", "quality")
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _m in MODULES:
-    try:
-        _x = import_module(f"vakya.llm.{_m}")
-    except ModuleNotFoundError:
-        continue
-    QUERIES |= _x.QUERIES
-    SQL |= getattr(_x, "SQL", {})
+for _m in (pii, formatdup, quota, abuse, looks, langid, neardup, leaks, mixing, quality):
+    QUERIES |= _m.QUERIES
+    SQL |= getattr(_m, "SQL", {})
