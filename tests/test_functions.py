@@ -139,8 +139,8 @@ def test_translation_gate(spark, source, target, reason):
 
 
 def test_prompts_and_budgets(spark):
-    assert values(spark, [("x", "hi")], "x string, lang string", quality.model_prompt("x", "lang", "indictrans2")) == ["hin_Deva eng_Latn x"]
-    assert values(spark, [("x", "hi")], "x string, lang string", quality.model_prompt("x", "lang", "madlad")) == ["<2en> x"]
+    assert values(spark, [("x", "hi")], "x string, lang string", quality.model_prompt("x", "lang", "tagged")) == ["hin_Deva eng_Latn x"]
+    assert values(spark, [("x", "hi")], "x string, lang string", quality.model_prompt("x", "lang", "prefix")) == ["<2en> x"]
     assert values(spark, [(0,), (10,), (1000,)], "n int", quality.generation_budget("n")) == [32, 57, 256]
     assert one(spark, quality.route("x"), "en", "te", "fr", None) == ["bypass", "translate", "passthrough", "passthrough"]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vakya.functions.lexicons import ACTIONS, CATEGORIES, CODE_MIX, EVIDENCE, INTENTS, LOW_CONFIDENCE, MAX_CHARS, SHORT_WORDS
+from vakya.functions.lexicons import ACTIONS, CATEGORIES, CODE_MIX, EVIDENCE, INTENTS, LOW_CONFIDENCE, MAX_CHARS, NO_REASONING, NO_SUMMARY, SHORT_WORDS
 from vakya.functions.rx import W_IN, forward, media, spam
 from vakya.functions.script import script_mix
 from vakya.functions.text import clip, col, first_words, lookup, n_links, squeezed_ends, words
@@ -95,8 +95,8 @@ def validated(reply: Column | str, free: bool = False, categories=CATEGORIES, un
         intent.alias("intent"),
         (pick(r["intent_label"], INTENTS, "Unknown") if free else intent).alias("intent_label"),
         risk(r["risk_score"]).alias("risk_score"),
-        F.when(text("reasoning") == "", "The model returned no reasoning for this assessment.").otherwise(text("reasoning")).alias("reasoning"),
-        F.when(text("summary") == "", "No summary was produced for this post.").otherwise(text("summary")).alias("summary"),
+        F.when(text("reasoning") == "", NO_REASONING).otherwise(text("reasoning")).alias("reasoning"),
+        F.when(text("summary") == "", NO_SUMMARY).otherwise(text("summary")).alias("summary"),
         F.when(text("reasoning") == "", "Human Review").otherwise(pick(r["recommended_action"], ACTIONS, "Human Review")).alias("recommended_action"),
         pick(r["evidence_confidence"], EVIDENCE, "low").alias("evidence_confidence"),
     )

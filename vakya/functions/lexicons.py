@@ -58,3 +58,7 @@ MEDIA = r"(?i)^[^{w}]*(?:image|photo|video|media|gif|sticker|audio|voice|documen
 
 # Numbers.
 CODE_MIX, LOW_CONFIDENCE, SHORT_WORDS, MAX_CHARS, MAX_RATIO, REPEAT_RATIO = 0.15, 0.60, 3, 4000, 4.0, 0.5
+
+# What stands for a reply's missing parts.
+NO_REASONING = "The model returned no reasoning for this assessment."
+NO_SUMMARY = "No summary was produced for this post."

@@ -98,9 +98,10 @@ def flores_code(lang: Column | str) -> Column:
 
 
 def model_prompt(x: Column | str, lang: Column | str, family: str) -> Column:
-    if family == "indictrans2":
+    """The text as a family of models wants it: 'tagged' with both languages, 'prefix' with the target's, else as it is."""
+    if family == "tagged":
         return F.concat_ws(" ", flores_code(lang), F.lit("eng_Latn"), col(x))
-    return F.concat(F.lit("<2en> "), col(x)) if family == "madlad" else col(x)
+    return F.concat(F.lit("<2en> "), col(x)) if family == "prefix" else col(x)
 
 
 def generation_budget(n_tokens: Column | str, longest: int = 256, ratio: float = 2.5, margin: int = 32) -> Column:
