@@ -71,7 +71,8 @@ class Fold:
         out = np.zeros(len(units), np.uint64)
         for k, p in enumerate(PRIMES):
             terms = v * self.power(k, int(n.max(initial=0)) + 1)[exponent] % np.uint64(p)
-            total = np.concatenate(([0], np.cumsum(terms)))[np.concatenate(([0], stop))].astype(np.uint64)
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms)))  # one signed or float part would make all of it float
+            total = sums[np.concatenate(([0], stop))]
             out = out << np.uint64(31) | np.diff(total) % np.uint64(p)
         return out, n
 
