@@ -3,7 +3,8 @@
 import pytest
 
 pytest.importorskip("vakya.llm")
-from vakya.llm import formatdup  # noqa: E402
+from vakya.llm import formatdup, langid  # noqa: E402
+from tests.llm.test_texts import EN, HI, MR, model  # noqa: E402, F401
 
 
 def test_copies_meet_across_ten_million_characters():
@@ -11,3 +12,13 @@ def test_copies_meet_across_ten_million_characters():
     h, n = formatdup.text_hashes([*first, *filler, *(t.upper() + "!" for t in first)])
     assert n[50 : 50 + len(filler)].sum() > 10_000_000
     assert h[:50].tolist() == h[-50:].tolist() and n[:50].tolist() == n[-50:].tolist() and len({*h[:50].tolist()}) == 50
+
+
+def test_short_whole_sentences_are_spoken(model):  # noqa: F811
+    of = lambda t: [x for x, _ in langid.spoken(langid.segments(langid.lines_form(t), model))]
+    assert of(f"{EN[0]}. ఈ రోడ్డు బాగా లేదు!") == ["en", "te"] == of(f"{EN[0]}\nఈ రోడ్డు బాగా లేదు")
+    assert of(f"{EN[0]}. bijli chali gayi hai. {EN[1]}") == ["en", "hi"]
+    assert of(f"{EN[0]} bijli hai. {EN[1]}") == ["en"] == of(f"the రోడ్డు was bad, {EN[0]}. రోడ్డు!")
+    assert of(f"{EN[0]}. That is Mr. ఈ రోడ్డు, {EN[1]}") == ["en"]
+    text = f" {EN[0]}.\r\n\r\n {MR[0]}"
+    assert langid.lines_form(text).replace("\n", " ") == langid.transducer().form(text)

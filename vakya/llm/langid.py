@@ -7,7 +7,8 @@ languages a script may hold comes from the sample too, so most scripts settle a
 of one script the languages of the words are found together (Viterbi, with a cost for switching).
 
 Addresses, links, handles, hashtags and words with digits don't count, nor do Latin words capitalised within a sentence (names).
-A language counts as spoken in a text where a stretch of `least` words in a row is in it; else the one with most evidence is.
+A language counts as spoken in a text where a whole sentence is in it, however short, or a stretch of `least` words in a row; else the
+one with most evidence is. Sentences end at sentence signs and line ends; a short one must be told by its script or by a clear margin.
 Null or blank texts and those without words have no language and no segment; repeated rows count once.
 """
 
@@ -35,7 +36,10 @@ LANGUAGES = tuple(CODES.values())
 # First and last code points of scripts.
 SCRIPTS = {"deva": (0x900, 0x97F), "beng": (0x980, 0x9FF), "guru": (0xA00, 0xA7F), "gujr": (0xA80, 0xAFF), "taml": (0xB80, 0xBFF), "telu": (0xC00, 0xC7F), "knda": (0xC80, 0xCFF), "mlym": (0xD00, 0xD7F), "arab": (0x600, 0x6FF)}
 SKIP = re.compile(r"https?://\S+|www\.\S+|[#@]\w+|\S*@\S*|</?\w+>|&\w+;", re.I)
-FLOOR, LONGEST, SWITCH = 1e-7, 24, 9.0
+#: Ends of sentences; a full stop only before a blank or closing sign.
+ENDS = re.compile(r"[\n!?।॥۔؟]|\.(?=[\s\"'”’)\]]|$)")
+SHORTENED = frozenset("rs no dr mr mrs ms st smt shri sri prof vs etc".split())
+FLOOR, LONGEST, SWITCH, SENTENCE_SWITCH = 1e-7, 24, 9.0, 3.0
 
 
 def script_of(word: str) -> str:
@@ -68,6 +72,24 @@ def words_in(text: str) -> list[tuple[str, int, int, bool]]:
     return out
 
 
+def sentences(text: str, words: list[tuple[str, int, int, bool]]) -> list[int]:
+    """The number of the sentence that each word is in."""
+    out, n = [], 0
+    for i, w in enumerate(words):
+        if i:
+            last, a, b, _ = words[i - 1]
+            if (m := ENDS.search(text, b, w[1])) and not (m[0] == "." and m.start() == b and (b - a == 1 or last in SHORTENED)):
+                n += 1
+        out.append(n)
+    return out
+
+
+def lines_form(text: str) -> str:
+    """The plain form with line ends kept, which stand where it has blanks."""
+    form = transducer().form
+    return "\n".join(x for line in text.splitlines() if (x := form(line))) if "\n" in text or "\r" in text else form(text)
+
+
 class Model:
     """Piece probabilities by script: pieces[script] maps a piece to a tuple over langs[script]."""
 
@@ -217,31 +239,41 @@ def fit(rows: list[tuple[str, str]], vocabulary: list[bytes], rounds: int = 3, o
     return Model(langs, pieces)
 
 
-def segments(text: str, model: Model, least: int = 5) -> list[tuple[int, int, str, float, int]]:
-    """(start, end, language, confidence, words) of the stretches of a text in plain form."""
-    runs: list[tuple[str, list]] = []
-    for w in words_in(text):
+def segments(text: str, model: Model, least: int = 5) -> list[tuple[int, int, str, float, int, bool]]:
+    """(start, end, language, confidence, words, holds a whole sentence) of the stretches of a text in plain form."""
+    runs: list[tuple[str, list, list]] = []
+    every = words_in(text)
+    numbers = sentences(text, every)
+    size, spoken_size = Counter(numbers), Counter(n for n, w in zip(numbers, every) if not w[3])
+    for w, n in zip(every, numbers):
         s = script_of(w[0])
         if not model.langs.get(s):
             continue
         if runs and runs[-1][0] == s:
             runs[-1][1].append(w)
+            runs[-1][2].append(n)
         else:
-            runs.append((s, [w]))
+            runs.append((s, [w], [n]))
+
+    def whole(ns: list[int]) -> list[int]:
+        # A single word is a call or a name rather than a sentence.
+        return [n for n, c in Counter(ns).items() if c == size[n] and spoken_size[n] > 1]
+
     out: list[list] = []
-    for s, ws in runs:
+    for s, ws, ns in runs:
         of = model.langs[s]
         k = len(of)
         if k == 1:
-            out.append([ws[0][1], ws[-1][2], of[0], 1.0, len(ws)])
+            out.append([ws[0][1], ws[-1][2], of[0], 1.0, len(ws), bool(whole(ns))])
             continue
         zero = [0.0] * k
         scores = [zero if name else model.score(w, s) for w, _, _, name in ws]
         best, back = scores[0], []
-        for x in scores[1:]:
+        for i, x in enumerate(scores[1:]):
+            cost = SWITCH if ns[i] == ns[i + 1] else SENTENCE_SWITCH
             top = max(range(k), key=best.__getitem__)
-            come = [j if best[j] >= best[top] - SWITCH else top for j in range(k)]
-            best = [(best[j] if come[j] == j else best[top] - SWITCH) + x[j] for j in range(k)]
+            come = [j if best[j] >= best[top] - cost else top for j in range(k)]
+            best = [(best[j] if come[j] == j else best[top] - cost) + x[j] for j in range(k)]
             back.append(come)
         j = max(range(k), key=best.__getitem__)
         path = [j]
@@ -249,45 +281,56 @@ def segments(text: str, model: Model, least: int = 5) -> list[tuple[int, int, st
             j = come[j]
             path.append(j)
         path.reverse()
-        # Stretches too short to be a sentence go with the stretch before or after.
+
+        def clear(a: int, b: int, j: int) -> bool:
+            """Whether the words from a to b hold a whole sentence that is clearly in language j."""
+            for n in whole(ns[a:b]):
+                sums = [sum(x) for x in zip(*(scores[q] for q in range(a, b) if ns[q] == n))]
+                if all(sums[j] - v >= SWITCH for q, v in enumerate(sums) if q != j):
+                    return True
+            return False
+
+        # Stretches too short to be more than borrowed words, unless they hold a sentence, go with the stretch before or after.
         cuts = [0, *(i for i in range(1, len(path)) if path[i] != path[i - 1]), len(path)]
         heard = [0]
         for w in ws:
             heard.append(heard[-1] + (not w[3]))
         parts = [[a, b, path[a]] for a, b in zip(cuts, cuts[1:])]
         while len(parts) > 1:
-            i = min(range(len(parts)), key=lambda i: heard[parts[i][1]] - heard[parts[i][0]])
-            a, b, _ = parts[i]
-            if heard[b] - heard[a] >= least:
+            short = [i for i, (a, b, j) in enumerate(parts) if heard[b] - heard[a] < least and not clear(a, b, j)]
+            if not short:
                 break
+            i = min(short, key=lambda i: heard[parts[i][1]] - heard[parts[i][0]])
+            a, b, _ = parts[i]
             q = i - 1 if i == len(parts) - 1 or (i and parts[i - 1][1] - parts[i - 1][0] >= parts[i + 1][1] - parts[i + 1][0]) else i + 1
             parts[q] = [min(a, parts[q][0]), max(b, parts[q][1]), parts[q][2]]
             del parts[i]
-            k = min(q, i)
-            for x in (k + 1, k):  # neighbours that now agree become one
+            first = min(q, i)
+            for x in (first + 1, first):  # neighbours that now agree become one
                 if 0 < x < len(parts) and parts[x][2] == parts[x - 1][2]:
                     parts[x - 1][1] = parts[x][1]
                     del parts[x]
         for a, b, _ in parts:
             sums = [sum(x) for x in zip(*scores[a:b])]
             top = max(sums)
-            out.append([ws[a][1], ws[b - 1][2], of[sums.index(top)], 1.0 / sum(math.exp(max(-700.0, v - top)) for v in sums), sum(not ws[q][3] for q in range(a, b))])
+            j = sums.index(top)
+            out.append([ws[a][1], ws[b - 1][2], of[j], 1.0 / sum(math.exp(max(-700.0, v - top)) for v in sums), heard[b] - heard[a], clear(a, b, j)])
     joined: list[list] = []
     for x in out:
         if joined and joined[-1][2] == x[2]:
-            joined[-1][1], joined[-1][3], joined[-1][4] = x[1], max(joined[-1][3], x[3]), joined[-1][4] + x[4]
+            joined[-1][1], joined[-1][3], joined[-1][4], joined[-1][5] = x[1], max(joined[-1][3], x[3]), joined[-1][4] + x[4], joined[-1][5] or x[5]
         else:
             joined.append(x)
     return [tuple(x) for x in joined]
 
 
-def spoken(parts: list[tuple[int, int, str, float, int]], least: int = 5) -> list[tuple[str, float]]:
-    """The languages of a text: those with a stretch of `least` words, else the one with most words."""
+def spoken(parts: list[tuple[int, int, str, float, int, bool]], least: int = 5) -> list[tuple[str, float]]:
+    """The languages of a text: those with a whole sentence or a stretch of `least` words, else the one with most words."""
     words, sure, long = Counter(), {}, set()
-    for _, _, lang, p, n in parts:
+    for _, _, lang, p, n, sentence in parts:
         words[lang] += n
         sure[lang] = max(sure.get(lang, 0.0), p)
-        if n >= least:
+        if sentence or n >= least:
             long.add(lang)
     if not words:
         return []
@@ -315,11 +358,10 @@ def fit_on(texts: DataFrame, sample: int = 20_000, vocabulary: str = VOCABULARY)
 
 
 def _run(batches: Iterator[pa.RecordBatch], model: Model, least: int) -> Iterator[pa.RecordBatch]:
-    form = transducer().form
     kind = pa.list_(pa.struct([("language", pa.string()), ("confidence", pa.float64())]))
     part = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("language", pa.string()), ("confidence", pa.float64())]))
     for b in batches:
-        found = [segments(form(t), model, least) if t else [] for t in b.column(1).to_pylist()]
+        found = [segments(lines_form(t), model, least) if t else [] for t in b.column(1).to_pylist()]
         langs = [[{"language": x, "confidence": p} for x, p in spoken(f, least)] for f in found]
         parts = [[{"start": x[0], "stop": x[1], "language": x[2], "confidence": x[3]} for x in f] for f in found]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(langs, kind), pa.array(parts, part)], names=["key", "label", "languages", "segments"])
