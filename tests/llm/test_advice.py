@@ -3,7 +3,7 @@
 import pytest
 
 pytest.importorskip("vakya.llm")
-from vakya.llm import formatdup, langid  # noqa: E402
+from vakya.llm import formatdup, langid, pii  # noqa: E402
 from tests.llm.test_texts import EN, HI, MR, model  # noqa: E402, F401
 
 
@@ -22,3 +22,27 @@ def test_short_whole_sentences_are_spoken(model):  # noqa: F811
     assert of(f"{EN[0]}. That is Mr. ఈ రోడ్డు, {EN[1]}") == ["en"]
     text = f" {EN[0]}.\r\n\r\n {MR[0]}"
     assert langid.lines_form(text).replace("\n", " ") == langid.transducer().form(text)
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("call 987 654 3210 or 9876 543 210", ["987 654 3210", "9876 543 210"]),
+        ("office 040-23456789.", ["040-23456789"]),
+        ("wards 71 72 73 74 75, complaint 987 654 3210", []),
+        ("फोन नौ आठ सात छह पांच चार तीन दो एक शून्य", ["नौ आठ सात छह पांच चार तीन दो एक शून्य"]),
+        ("ഫോൺ ഒമ്പത് എട്ട് ഏഴ് ആറ് അഞ്ച് നാല് മൂന്ന് രണ്ട് ഒന്ന് പൂജ്യം", ["ഒമ്പത് എട്ട് ഏഴ് ആറ് അഞ്ച് നാല് മൂന്ന് രണ്ട് ഒന്ന് പൂജ്യം"]),
+        ("என் பெயர் ரவி குமார்.", ["ரவி குமார்"]),
+        ("ನನ್ನ ಹೆಸರು ರಮೇಶ್ ಗೌಡ.", ["ರಮೇಶ್ ಗೌಡ"]),
+        ("এটা ঠিক। আমার নাম রহিম শেখ।", ["রহিম শেখ"]),
+        ("મારું નામ રમેશ પટેલ છે", ["રમેશ પટેલ"]),
+        ("میرا نام احمد خان ہے۔", ["احمد خان"]),
+        ("Then Ravi Nair complained twice. The Clerk said no.", ["Ravi Nair"]),
+        ("ఇంటి నంబర్ 12-3, పాత మిల్లు వీధి, రామాపురం.", ["ఇంటి నంబర్ 12-3, పాత మిల్లు వీధి, రామాపురం"]),
+        ("வீட்டு எண் 12, பழைய மில் தெரு, மதுரை", ["வீட்டு எண் 12, பழைய மில் தெரு, மதுரை"]),
+        ("مکان نمبر 5، پرانی گلی", ["مکان نمبر 5، پرانی گلی"]),
+        ("makaan no 14 purani mil sadak, Rampur", ["makaan no 14 purani mil sadak, Rampur"]),
+    ],
+)
+def test_personal_data_in_more_languages(text, want):
+    assert [text[a:b].strip() for a, b, _ in pii.find(text)] == want
