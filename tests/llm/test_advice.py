@@ -4,7 +4,7 @@ import pytest
 
 pytest.importorskip("vakya.llm")
 from vakya.llm import formatdup, langid, pii  # noqa: E402
-from tests.llm.test_texts import EN, HI, MR, model  # noqa: E402, F401
+from tests.llm.test_texts import EN, HI, MR, model, rows  # noqa: E402, F401
 
 
 def test_copies_meet_across_ten_million_characters():
@@ -46,3 +46,22 @@ def test_short_whole_sentences_are_spoken(model):  # noqa: F811
 )
 def test_personal_data_in_more_languages(text, want):
     assert [text[a:b].strip() for a, b, _ in pii.find(text)] == want
+
+
+def test_field_posts_meet_whatever_separates_them(spark):
+    a = ["Name: Asha", "Ward No: 5", "House Tax Due: 9"]
+    data = [(k, sep.join(a)) for k, sep in enumerate(["; ", "\n", " / ", " - ", "\t", " • ", " ", " | ", ", "], 10)]
+    data += [(1, "House Tax Due: 9; Name: Asha; Ward No: 5"), (40, " / ".join(a[::-1])), (41, "Name: Asha Ward No; 5 House Tax Due: 9"), (50, "Name Asha Ward No 5 House Tax Due 9"), (60, "Name: Asha; Ward No: 6; House Tax Due: 9")]
+    data += [(10, "; ".join(a)), (5, "Place: A Block No: 1"), (6, "Place: A; Block No: 1"), (7, "Block No: 1; Place: A")]
+    df = spark.createDataFrame(data, "id bigint, text string")
+    assert rows(formatdup.format_copies(df)) == [(1, k) for k in [*range(10, 19), 40, 41]] + [(5, 6), (5, 7)]
+
+
+def test_components(spark):
+    import random
+
+    nodes = random.Random(3).sample(range(1000), 200)
+    path, star = nodes[:100], nodes[100:]
+    edges = [*zip(path, path[1:]), *((star[0], x) for x in star[1:]), (path[0], path[0])]
+    want = sorted([(x, min(c)) for c in (path, star) for x in c if x != min(c)])
+    assert rows(formatdup._components(spark.createDataFrame(edges, "a bigint, b bigint"))) == want

@@ -4,6 +4,8 @@ The code points of a batch go through one table that maps skipped characters to
 polynomial hashes by two primes; the canonical strings are never made. A post of `name: value` fields gets the sum of its
 distinct fields' hashes, so their order doesn't matter. Rows that meet in a hash are then compared with the group's
 representative by two pointers that skip; the few that only collide are grouped again by a digest of their folded characters.
+Where a name of several words begins can't always be told, so posts of fields meet by their plain sequence too, and groups that
+share a post either way become one (contraction of the few edges between groups).
 
 Null and blank texts and those without a letter, mark or digit are in no group; a repeated id counts once. A group of a third
 of all rows is one aggregated row, and its rows are checked in as many tasks as AQE splits the join into.
@@ -28,7 +30,7 @@ from vakya.llm.base import WORD_KINDS, assigned, not_blank, table, written
 PRIMES, BASES = (2_147_483_647, 2_147_483_629), (1_000_003, 998_244_353)
 _name = r"\p{L}[\p{L}\p{M}\p{N}_]*"
 _open = r"""["'“”‘’*`]*"""
-FIELD = regex.compile(rf"(?:(?:^|[\n|;,{{])[^\p{{L}}\p{{M}}\p{{N}}]*({_name}(?: {_name}){{0,2}})|(?<![\p{{L}}\p{{M}}\p{{N}}#@/&]){_open}({_name})){_open}\s*[:=](?!/)")
+FIELD = regex.compile(rf"(?:(?:^|[\n\t|;,{{/•·▪◦●►]|\s[-–—*]\s)[^\p{{L}}\p{{M}}\p{{N}}]*({_name}(?: {_name}){{0,2}})|(?<![\p{{L}}\p{{M}}\p{{N}}#@/&]){_open}({_name})){_open}\s*[:=](?!/)")
 START = regex.compile(rf"[^\p{{L}}\p{{M}}\p{{N}}]*{_name}(?: {_name}){{0,2}}{_open}\s*[:=](?!/)")
 
 
@@ -150,7 +152,7 @@ def same_record(a: str, b: str) -> bool:
     return all(any(same(n, m) and same(v, w) for m, w in g) for n, v in f) and all(any(same(n, m) and same(v, w) for n, v in f) for m, w in g)
 
 
-def digest(text: str) -> bytes:
+def digest(text: str, plain: bool = False) -> bytes:
     """Of the characters that count; only for rows whose hash collides."""
     to = fold()
 
@@ -158,25 +160,47 @@ def digest(text: str) -> bytes:
         v = to.to[np.frombuffer(s.translate(to.longer).encode("utf-32-le", "surrogatepass"), np.uint32)]
         return xxhash.xxh3_128_digest(v[v > 0].tobytes())
 
-    f = fields(text)
+    f = None if plain else fields(text)
     return xxhash.xxh3_128_digest(b"".join(sorted({one(n) + one(v) for n, v in f}))) if f else one(text)
 
 
+#: Added to the size of a post of fields where its plain sequence is hashed.
+PLAIN = 1 << 40
+
+
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        h, n = text_hashes(b.column(1).to_pylist())
-        keep = pa.array(n != 0)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["id", "text", "hash", "size"]).filter(keep)
+        texts = b.column(1).to_pylist()
+        h, n = text_hashes(texts)
+        form = np.flatnonzero(n < 0)
+        g, m = fold().hashes([texts[i] for i in form]) if len(form) else (h[:0], n[:0])
+        rows = pa.array(np.concatenate((np.flatnonzero(n), form)))
+        h, n = np.concatenate((h[n != 0], g)), np.concatenate((n[n != 0], m + PLAIN)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(h.view(np.int64)), pa.array(n)], names=["id", "text", "hash", "size"])
 
 
 @F.pandas_udf(T.BooleanType())
-def _same(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([x == y or same_record(x, y) for x, y in zip(a, b)], dtype=bool)
+def _same(a: pd.Series, b: pd.Series, size: pd.Series) -> pd.Series:
+    return pd.Series([x == y or (fold().same if n >= PLAIN else same_record)(x, y) for x, y, n in zip(a, b, size)], dtype=bool)
 
 
 @F.pandas_udf(T.BinaryType())
-def _digest(a: pd.Series) -> pd.Series:
-    return a.map(digest)
+def _digest(a: pd.Series, size: pd.Series) -> pd.Series:
+    return pd.Series([digest(x, n >= PLAIN) for x, n in zip(a, size)], dtype=object)
+
+
+def _components(edges: DataFrame) -> DataFrame | None:
+    """(a, b) to (node, least): every node that isn't the least of its component with that. Each round moves all ends to their least neighbours."""
+    found = None
+    while not (edges := written(edges.where("a <> b").distinct())).isEmpty():
+        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")))
+        if found is None:
+            found = least.select(F.col("a").alias("node"), F.col("to").alias("least"))
+        else:
+            found = written(found.join(least.withColumnRenamed("a", "least"), "least", "left").select("node", F.coalesce("to", "least").alias("least")))
+        edges = edges.join(least.withColumnRenamed("to", "x"), "a").join(least.select(F.col("a").alias("b"), F.col("to").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return found and found.where("node <> least")
 
 
 def format_copies(posts: DataFrame) -> DataFrame:
@@ -186,12 +210,20 @@ def format_copies(posts: DataFrame) -> DataFrame:
     members = written(rows.join(heads, ["hash", "size"]))
     # The least id may be delivered twice with one text; one row of it stands for the group.
     head_text = members.where("id = keep_id").groupBy("hash", "size").agg(F.min("text").alias("head_text"))
-    checked = members.where("id > keep_id").join(head_text, ["hash", "size"]).withColumn("same", _same("text", "head_text"))
-    good = checked.where("same").select("keep_id", F.col("id").alias("copy_id"))
-    odd = checked.where("not same").select("id", "hash", "size", _digest("text").alias("digest"))
+    checked = members.where("id > keep_id").join(head_text, ["hash", "size"]).withColumn("same", _same("text", "head_text", "size"))
+    good = checked.where("same").select("keep_id", F.col("id").alias("copy_id"), "size")
+    odd = checked.where("not same").select("id", "hash", "size", _digest("text", "size").alias("digest"))
     odd_heads = odd.groupBy("hash", "size", "digest").agg(F.min("id").alias("keep_id"))
-    again = odd.join(odd_heads, ["hash", "size", "digest"]).where("id > keep_id").select("keep_id", F.col("id").alias("copy_id"))
-    return good.unionAll(again).distinct()
+    again = odd.join(odd_heads, ["hash", "size", "digest"]).where("id > keep_id").select("keep_id", F.col("id").alias("copy_id"), "size")
+    pairs = written(good.unionAll(again).select("keep_id", "copy_id", (F.col("size") >= PLAIN).alias("plain")).distinct())
+    first, second = pairs.where("not plain").drop("plain"), pairs.where("plain").drop("plain")
+    of = lambda name, to: first.select(F.col("copy_id").alias(name), F.col("keep_id").alias(to))
+    ends = second.join(of("keep_id", "x"), "keep_id", "left").join(of("copy_id", "y"), "copy_id", "left")
+    moved = _components(ends.select(F.coalesce("x", "keep_id").alias("a"), F.coalesce("y", "copy_id").alias("b")))
+    if moved is None:
+        return first
+    kept = first.join(moved.withColumnRenamed("node", "keep_id"), "keep_id", "left").select(F.coalesce("least", "keep_id").alias("keep_id"), "copy_id")
+    return kept.unionAll(moved.select(F.col("least").alias("keep_id"), F.col("node").alias("copy_id"))).distinct()
 
 
 def copy_counts(posts: DataFrame) -> DataFrame:
