@@ -3,7 +3,7 @@
 import pytest
 
 pytest.importorskip("vakya.llm")
-from vakya.llm import formatdup, langid, pii  # noqa: E402
+from vakya.llm import formatdup, langid, pii, quality  # noqa: E402
 from tests.llm.test_texts import EN, HI, MR, model, rows  # noqa: E402, F401
 
 
@@ -65,3 +65,14 @@ def test_components(spark):
     edges = [*zip(path, path[1:]), *((star[0], x) for x in star[1:]), (path[0], path[0])]
     want = sorted([(x, min(c)) for c in (path, star) for x in c if x != min(c)])
     assert rows(formatdup._components(spark.createDataFrame(edges, "a bigint, b bigint"))) == want
+
+
+def test_word_salad_is_junk_at_any_length():
+    import random
+
+    r = random.Random(4)
+    few, many = [f"word{chr(97 + k)}" for k in range(26)], [f"w{chr(97 + j)}{chr(97 + k)}" for j in range(26) for k in range(26)]
+    salad = lambda of, n: " ".join(r.choices(of, k=n)) + "."
+    assert [quality.statistics(salad(few, n))[-1] for n in (399, 400, 401, 900, 9_000)] == ["junk"] * 5
+    words = salad(many, 9_000)[:-1].split()
+    assert len(set(words)) / len(words) < 0.12 and quality.windowed(words) > 0.4  # a rich text isn't taken for one

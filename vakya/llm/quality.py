@@ -93,6 +93,16 @@ def kind_of_line(line: str, shape: tuple[str, int], common: dict, word: Runs) ->
     return "list"
 
 
+#: In longer texts of any kind fewer words are new, so different words are counted in windows of so many.
+WINDOW = 400
+
+
+def windowed(words: list[str]) -> float:
+    """The share of different words in a window, averaged over windows that cover the text."""
+    starts = [*range(0, len(words) - WINDOW, WINDOW), len(words) - WINDOW]
+    return sum(len(set(words[k : k + WINDOW])) for k in starts) / WINDOW / len(starts)
+
+
 def statistics(text: str) -> tuple:
     word = word_pattern()
     words = word.findall(text.lower())
@@ -149,7 +159,7 @@ def statistics(text: str) -> tuple:
         broken > 0.3
         or (scattered > 0.55 and dense >= 20 and not ruled)
         or (n >= 12 and again > 0.8 and different < 0.25)
-        or (n >= 6 and different < 0.12 and len(words) < 400)
+        or (n >= 6 and (different if n <= WINDOW else windowed(words)) < 0.12)
         or (len(lines) >= 6 and dup_lines > 0.6)
         or menu
         or share["junk"] > 0.5
