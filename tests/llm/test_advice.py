@@ -3,7 +3,7 @@
 import pytest
 
 pytest.importorskip("vakya.llm")
-from vakya.llm import formatdup, langid, pii, quality  # noqa: E402
+from vakya.llm import abuse, formatdup, langid, pii, quality  # noqa: E402
 from tests.llm.test_texts import EN, HI, MR, model, rows  # noqa: E402, F401
 
 
@@ -76,3 +76,19 @@ def test_word_salad_is_junk_at_any_length():
     assert [quality.statistics(salad(few, n))[-1] for n in (399, 400, 401, 900, 9_000)] == ["junk"] * 5
     words = salad(many, 9_000)[:-1].split()
     assert len(set(words)) / len(words) < 0.12 and quality.windowed(words) > 0.4  # a rich text isn't taken for one
+
+
+def test_terms_far_apart_in_a_sentence_interact():
+    import itertools
+
+    import numpy as np
+
+    fill = [f"filler{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(100)]
+    at = {abuse._hash(w): k for k, w in enumerate(["rats", "settlers", *fill])}
+    v = np.zeros((len(at), 2))
+    v[:2, 0] = 3.0
+    m = abuse.Machine(-4.0, at, np.zeros(len(at)), v)
+    far = lambda a, b, n=1: " ".join([*fill[:a], "rats", *fill[a:b], *["settlers"] * n, *fill[b:]])
+    assert all(m.text(far(a, b)) > 0.9 for a, b in itertools.combinations(range(0, 100, 7), 2)) and m.text(far(7, 15)) > 0.9
+    assert m.text(far(0, 99).replace("rats", "x")) < 0.1 and m.text(far(0, 90, 40).replace("rats", "x")) < 0.1
+    assert m.text(far(0, 50).replace(fill[20], fill[20] + ".")) < 0.1

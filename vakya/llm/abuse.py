@@ -60,21 +60,27 @@ def terms_of(token: str) -> list[str]:
     return [plain, plain.replace("i", "l", 1)] if "1" in t else [plain]
 
 
-def stretches(text: str) -> list[tuple[int, ...]]:
-    """The hashed terms of each stretch, distinct and in order of hash."""
+def sentences(text: str) -> list[list[int]]:
+    """The hashed terms of each sentence, in order."""
     text = DROP.sub(" ", transducer().form(text).lower() if "\n" not in text else "\n".join(map(transducer().form, text.lower().split("\n"))))
     text = APART.sub(_joined, text)
     out = []
     for s in CUT.split(text):
         terms = [x for t in TERM.findall(s) for x in terms_of(t)]
-        if not terms:
-            continue
-        hashes = [_hash(x) for x in terms]
-        for k in range(0, max(1, len(hashes) - STEP), STEP) if len(hashes) > WINDOW else (0,):
-            out.append(tuple(sorted({*hashes[k : k + WINDOW]})))
+        if terms:
+            out.append([_hash(x) for x in terms])
     return out
 
 
+def windows(hashes: list[int]) -> list[tuple[int, ...]]:
+    """The distinct terms of each window of a sentence, in order of hash."""
+    return [tuple(sorted({*hashes[k : k + WINDOW]})) for k in (range(0, max(1, len(hashes) - STEP), STEP) if len(hashes) > WINDOW else (0,))]
+
+
+def stretches(text: str) -> list[tuple[int, ...]]:
+    return [w for s in sentences(text) for w in windows(s)]
+
+
 _known: dict[str, int] = {}
 
 
@@ -119,7 +125,24 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
     def text(self, text: str) -> float:
-        return max(map(self.stretch, stretches(text)), default=0.0)
+        best = 0.0
+        for s in sentences(text):
+            best = max(best, *map(self.stretch, windows(s)))
+            if len(s) > WINDOW and self.at:
+                best = max(best, self.apart([*dict.fromkeys(s)]))
+        return best
+
+    def apart(self, hashes: list[int]) -> float:
+        """The highest score of any two blocks of STEP distinct terms, so that any two terms of a sentence meet, among as many others as in a window."""
+        rows = np.array([self.at.get(h, -1) for h in hashes])
+        cut = np.arange(0, len(rows), STEP)
+        v, w = np.where((rows >= 0)[:, None], self.v[rows], 0.0), np.where(rows >= 0, self.w[rows], 0.0)
+        s = np.add.reduceat(v, cut)
+        own = np.add.reduceat(w, cut) + 0.5 * ((s * s).sum(axis=1) - np.add.reduceat((v * v).sum(axis=1), cut))
+        top = own[0]
+        for k in range(len(cut) - 1):
+            top = max(top, float((own[k] + own[k + 1 :] + s[k + 1 :] @ s[k]).max()))
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.w0 + float(top)))))
 
 
 #: Of abusive texts, how many the judgement calls so, and of others; where fitting starts from.
