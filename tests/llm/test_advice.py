@@ -3,7 +3,7 @@
 import pytest
 
 pytest.importorskip("vakya.llm")
-from vakya.llm import abuse, formatdup, langid, pii, quality  # noqa: E402
+from vakya.llm import abuse, formatdup, langid, leaks, pii, quality  # noqa: E402
 from tests.llm.test_texts import EN, HI, MR, model, rows  # noqa: E402, F401
 
 
@@ -92,3 +92,13 @@ def test_terms_far_apart_in_a_sentence_interact():
     assert all(m.text(far(a, b)) > 0.9 for a, b in itertools.combinations(range(0, 100, 7), 2)) and m.text(far(7, 15)) > 0.9
     assert m.text(far(0, 99).replace("rats", "x")) < 0.1 and m.text(far(0, 90, 40).replace("rats", "x")) < 0.1
     assert m.text(far(0, 50).replace(fill[20], fill[20] + ".")) < 0.1
+
+
+def test_proximity_matches_are_of_their_own_kind(spark):
+    item = [f"w{k}" for k in range(40)]
+    changed = [w if k % 12 else "other" for k, w in enumerate(item)]
+    docs = [(1, " ".join(["x"] * 9 + changed)), (2, " ".join(item[:13] + ["x"] * 50 + item)), (3, " ".join(item[::3] * 9)), (4, " ".join(changed[:20] + ["x"] * 7 + changed[20:])), (5, " ".join(item[:20])), (6, " ".join(item[20:])), (7, None)]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(9, " ".join(item))], "item_id bigint, text string")
+    assert rows(leaks.leaks(d, i)) == [(2, 9, 40), (5, 9, 20), (6, 9, 20)]
+    assert rows(leaks.near_leaks(d, i)) == [(1, 9, 36), (2, 9, 40), (4, 9, 36)]
+    assert rows(leaks.near_leaks(d.limit(0), i)) == []

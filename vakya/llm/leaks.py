@@ -7,6 +7,8 @@ posting list is gathered.
 A search takes, from every window of `run` words of an item, the term that is rarest in the shard, moves its postings by its
 offset to where the item would begin, and intersects them with the neighbours' postings moved likewise. A run of `run` words
 in a row on one such diagonal is a phrase match; the item's words within `slack` of it count for proximity.
+A proximity match of its own needs no phrase: on some diagonal `share` of the item's words are within `slack`. One of the item's
+rarest words must then be among them, so only diagonals near the postings of these are tried, and left once too many words miss.
 
 Items and documents with null ids or texts, and items of fewer than `run` words, are in no result. Repeated rows count once.
 """
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from vakya.llm.base import check_broadcast, deep_size, table, words_of
 
-RUN, SLACK, SHARD = 13, 8, 400_000
+RUN, SLACK, SHARD, SHARE = 13, 8, 400_000, 0.8
 INDEX = "doc_ids array<bigint>, starts array<int>, terms array<int>, ends array<int>, positions array<int>"
 
 
@@ -91,7 +93,7 @@ def _matches(items: list[tuple[int, np.ndarray]], run: int, slack: int):
                 continue
             anchors = np.unique(possible + windows[possible].argmin(axis=1))
             lists = {}
-            found: dict[int, tuple[int, int]] = {}
+            found: dict[int, set[int]] = {}
             for a in anchors.tolist():
                 begin = postings(int(w[a])).astype(np.int64) - a
                 lo, hi = max(0, a - run + 1), min(len(w), a + run)
@@ -107,16 +109,59 @@ def _matches(items: list[tuple[int, np.ndarray]], run: int, slack: int):
                     best = np.maximum(best, streak)
                 for d in begin[best >= run].tolist():
                     k = int(np.searchsorted(starts, d + a, "right")) - 1
-                    if k not in found:
-                        found[k] = (d, int(starts[k]))
-            for k, (d, s) in found.items():
-                stop = int(starts[k + 1]) if k + 1 < len(starts) else 2**31 - 1
-                near = 0
+                    found.setdefault(k, set()).add(d)
+            for k, ds in found.items():
+                begin, near = np.array([*ds]), np.zeros(len(ds), np.int64)
+                start, stop = starts[k], starts[k + 1] if k + 1 < len(starts) else 2**31 - 1
                 for o, t in enumerate(w.tolist()):
-                    p = postings(t)
-                    x, y = np.searchsorted(p, [max(s, d + o - slack), min(stop, d + o + slack + 1)])
-                    near += bool(y > x)
-                yield int(doc_ids[k]), item, near
+                    near += _within(postings(t), begin + o, slack, start, stop)
+                yield int(doc_ids[k]), item, int(near.max())
+
+    return _search(shard)
+
+
+def _within(p: np.ndarray, at: np.ndarray, slack: int, start, stop) -> np.ndarray:
+    """Whether there is a posting within `slack` of each place and in its document."""
+    return np.searchsorted(p, np.minimum(stop, at + slack + 1)) > np.searchsorted(p, np.maximum(start, at - slack))
+
+
+def _near(items: list[tuple[int, np.ndarray]], share: float, slack: int):
+    none = np.zeros(0, np.int64)
+
+    def shard(doc_ids, starts, terms, ends, positions):
+        first = np.concatenate(([0], ends[:-1]))
+        where = {t: (a, b) for t, a, b in zip(terms.tolist(), first.tolist(), ends.tolist())}
+        begins, limits = starts.astype(np.int64), np.append(starts[1:], 2**31 - 1).astype(np.int64)
+        positions = positions.astype(np.int64)
+        for item, w in items:
+            lists = [positions[slice(*where[t])] if t in where else none for t in w.tolist()]
+            need = -int(-share * len(w) // 1)
+            order = sorted(range(len(w)), key=lambda o: len(lists[o]))
+            at = np.concatenate([lists[o] for o in order[: len(w) - need + 1]])
+            if not len(at):
+                continue
+            d = np.concatenate([lists[o] - o for o in order[: len(w) - need + 1]])
+            doc = np.searchsorted(begins, at, "right") - 1
+            missed = np.zeros(len(d), np.int64)
+            for o in order:  # a diagonal that has an anchor near has the rest within twice the slack of the anchor's own
+                missed += ~_within(lists[o], d + o, 2 * slack, begins[doc], limits[doc])
+                keep = missed <= len(w) - need
+                d, doc, missed = d[keep], doc[keep], missed[keep]
+                if not len(d):
+                    break
+            if not len(d):
+                continue
+            shift = np.arange(-slack, slack + 1)
+            both = np.unique(np.stack([np.repeat(doc, len(shift)), (d[:, None] + shift).ravel()]), axis=1)
+            doc, d = both
+            near = sum(_within(p, d + o, slack, begins[doc], limits[doc]).astype(np.int64) for o, p in enumerate(lists))
+            for k in np.unique(doc[near >= need]).tolist():
+                yield int(doc_ids[k]), item, int(near[doc == k].max())
+
+    return _search(shard)
+
+
+def _search(shard):
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -128,20 +173,29 @@ def _matches(items: list[tuple[int, np.ndarray]], run: int, slack: int):
     return search
 
 
-def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, slack: int = SLACK, shard: int = SHARD) -> DataFrame:
-    """(doc_id, item_id, near_words): documents holding `run` words of an item in a row; near_words: the item's words in proximity."""
-    of = read_items(items, run)
+def _found(documents: DataFrame, items: DataFrame, run: int, shard: int, search) -> DataFrame:
     number: dict[str, int] = {}
-    coded = [(i, np.array([number.setdefault(x, len(number)) for x in w], np.int32)) for i, w in of]
-    found = build_index(documents, number, shard).mapInArrow(_matches(coded, run, slack), "doc_id bigint, item_id bigint, near_words bigint")
+    coded = [(i, np.array([number.setdefault(x, len(number)) for x in w], np.int32)) for i, w in read_items(items, run)]
+    found = build_index(documents, number, shard).mapInArrow(search(coded), "doc_id bigint, item_id bigint, near_words bigint")
     return found.groupBy("doc_id", "item_id").agg(F.max("near_words").alias("near_words"))
 
 
+def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, slack: int = SLACK, shard: int = SHARD) -> DataFrame:
+    """(doc_id, item_id, near_words): documents holding `run` words of an item in a row; near_words: the most of the item's words in proximity."""
+    return _found(documents, items, run, shard, lambda coded: _matches(coded, run, slack))
+
+
+def near_leaks(documents: DataFrame, items: DataFrame, run: int = RUN, slack: int = SLACK, shard: int = SHARD, share: float = SHARE) -> DataFrame:
+    """(doc_id, item_id, near_words): documents with `share` of an item's words in proximity, whether in a row or not."""
+    return _found(documents, items, run, shard, lambda coded: _near(coded, share, slack))
+
+
 def _in(s, d: str) -> tuple[DataFrame, DataFrame]:
     return table(s, d, "documents", "doc_id", "text"), table(s, d, "eval_items", "item_id", "text")
 
 
 QUERIES = {
+    "p8_near": lambda s, d: near_leaks(*_in(s, d)),
     "p8_found": lambda s, d: leaks(*_in(s, d)).select("doc_id", "item_id"),
     "p8_items": lambda s, d: leaks(*_in(s, d)).groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("near_words").alias("most_near_words")),
 }
