@@ -3,7 +3,7 @@
 import pytest
 
 pytest.importorskip("vakya.llm")
-from vakya.llm import abuse, formatdup, langid, leaks, pii, quality  # noqa: E402
+from vakya.llm import abuse, formatdup, langid, leaks, neardup, pii, quality  # noqa: E402
 from tests.llm.test_texts import EN, HI, MR, model, rows  # noqa: E402, F401
 
 
@@ -64,7 +64,7 @@ def test_components(spark):
     path, star = nodes[:100], nodes[100:]
     edges = [*zip(path, path[1:]), *((star[0], x) for x in star[1:]), (path[0], path[0])]
     want = sorted([(x, min(c)) for c in (path, star) for x in c if x != min(c)])
-    assert rows(formatdup._components(spark.createDataFrame(edges, "a bigint, b bigint"))) == want
+    assert rows(formatdup.components(spark.createDataFrame(edges, "a bigint, b bigint"))) == want
 
 
 def test_word_salad_is_junk_at_any_length():
@@ -102,3 +102,13 @@ def test_proximity_matches_are_of_their_own_kind(spark):
     assert rows(leaks.leaks(d, i)) == [(2, 9, 40), (5, 9, 20), (6, 9, 20)]
     assert rows(leaks.near_leaks(d, i)) == [(1, 9, 36), (2, 9, 40), (4, 9, 36)]
     assert rows(leaks.near_leaks(d.limit(0), i)) == []
+
+
+def test_near_classes_are_components_of_pairs_and_copies(spark):
+    w = [f"w{k}" for k in range(30)]
+    chain = [(20 + k, " ".join(w[k : k + 20])) for k in range(0, 8, 2)]
+    data = [*chain, (5, " ".join(w[6:26]) + "!"), (7, "a few words"), (8, "A few words"), (9, None), (30, " ".join(f"v{k}" for k in range(12))), (29, " ".join(f"V{k}" for k in range(12)))]
+    df = spark.createDataFrame(data, "id bigint, text string")
+    assert rows(neardup.near_pairs(df))[-1] == (24, 26)
+    assert rows(neardup.near_classes(df)) == [(5, 5), (7, 7), (8, 8), (9, 9), *((k, 5) for k in (20, 22, 24, 26)), (29, 29), (30, 29)]
+    assert rows(neardup.near_classes(df.limit(0))) == []

@@ -189,7 +189,7 @@ def _digest(a: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series([digest(x, n >= PLAIN) for x, n in zip(a, size)], dtype=object)
 
 
-def _components(edges: DataFrame) -> DataFrame | None:
+def components(edges: DataFrame) -> DataFrame | None:
     """(a, b) to (node, least): every node that isn't the least of its component with that. Each round moves all ends to their least neighbours."""
     found = None
     while not (edges := written(edges.where("a <> b").distinct())).isEmpty():
@@ -219,7 +219,7 @@ def format_copies(posts: DataFrame) -> DataFrame:
     first, second = pairs.where("not plain").drop("plain"), pairs.where("plain").drop("plain")
     of = lambda name, to: first.select(F.col("copy_id").alias(name), F.col("keep_id").alias(to))
     ends = second.join(of("keep_id", "x"), "keep_id", "left").join(of("copy_id", "y"), "copy_id", "left")
-    moved = _components(ends.select(F.coalesce("x", "keep_id").alias("a"), F.coalesce("y", "copy_id").alias("b")))
+    moved = components(ends.select(F.coalesce("x", "keep_id").alias("a"), F.coalesce("y", "copy_id").alias("b")))
     if moved is None:
         return first
     kept = first.join(moved.withColumnRenamed("node", "keep_id"), "keep_id", "left").select(F.coalesce("least", "keep_id").alias("keep_id"), "copy_id")

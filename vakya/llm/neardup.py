@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vakya.llm.base import check_broadcast, not_blank, table, word_pattern, written
+from vakya.llm.formatdup import components
 from vakya.llm.looks import transducer
 
 BITS = 256
@@ -262,8 +263,8 @@ def _bitmap(seqs: DataFrame) -> np.ndarray:
     return out
 
 
-def near_pairs(posts: DataFrame, t: float = 0.8, least: int = 10, block: int = 2048, cells: int = 1 << 19) -> DataFrame:
-    """(id, text) to (id_a, id_b), the smaller first: see the module's text.
+def _near_sequences(posts: DataFrame, t: float, least: int, block: int, cells: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, text) to pairs of near sequences (seq_a, seq_b), the rows (id, seq) of these, and the rows (id, seq) of all posts with enough words.
 
     Posts with null ids, null or blank texts or fewer than `least` distinct words are in no pair; a repeated id counts once.
     What is broadcast is one byte for each of `cells` (a power of 2)."""
@@ -295,12 +296,33 @@ def near_pairs(posts: DataFrame, t: float = 0.8, least: int = 10, block: int = 2
     a, b = (one.select(F.col("seq").alias(f"seq_{x}"), F.col("n").alias(f"n_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
     shared = F.size(F.array_intersect("words_a", "words_b"))
     pairs = close.join(a, "seq_a").join(b, "seq_b").withColumn("shared", shared).where(f"shared >= {t} * (n_a + n_b - shared) - 1e-9").select("seq_a", "seq_b")
+    return pairs, held.select("id", "seq"), bags.select("id", "seq")
+
+
+def near_pairs(posts: DataFrame, t: float = 0.8, least: int = 10, block: int = 2048, cells: int = 1 << 19) -> DataFrame:
+    """(id, text) to (id_a, id_b), the smaller first: see the module's text."""
+    pairs, held, _ = _near_sequences(posts, t, least, block, cells)
     x, y = (held.select(F.col("id").alias(k), F.col("seq").alias(f"seq_{k}")).distinct() for k in "ab")
     return pairs.join(x, "seq_a").join(y, "seq_b").select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).where("id_a < id_b").distinct()
 
 
+def near_classes(posts: DataFrame, t: float = 0.8, least: int = 10, block: int = 2048, cells: int = 1 << 19) -> DataFrame:
+    """(id, text) to (id, class_id), one row per id: the least id that near pairs and equal word sequences lead to.
+
+    Each sequence is stood for by its least id, so a class of many copies is a few edges. A post in no pair is a class of its own or of its copies."""
+    pairs, _, bags = _near_sequences(posts, t, least, block, cells)
+    first = written(bags.groupBy("seq").agg(F.min("id").alias("first")))
+    a, b = (first.select(F.col("seq").alias(f"seq_{x}"), F.col("first").alias(x)) for x in "ab")
+    moved = components(pairs.join(a, "seq_a").join(b, "seq_b").select("a", "b"))
+    of = bags.join(first, "seq").groupBy("id").agg(F.min("first").alias("class_id"))
+    if moved is not None:
+        of = of.join(moved.withColumnRenamed("node", "class_id"), "class_id", "left").select("id", F.coalesce("least", "class_id").alias("class_id"))
+    ids = posts.where("id is not null").select("id").distinct()
+    return ids.join(of, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
+
+
 def _posts(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "dataset").select("id", F.col("post_text").alias("text"))
 
 
-QUERIES = {"p7_found": lambda s, d: near_pairs(_posts(s, d))}
+QUERIES = {"p7_found": lambda s, d: near_pairs(_posts(s, d)), "p7_classes": lambda s, d: near_classes(_posts(s, d))}
