@@ -9,8 +9,11 @@ import sys
 import tempfile
 import unicodedata
 import uuid
-from collections.abc import Iterable
+import weakref
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A folder of our own is made only where none is configured (tests)."""
+    """The folder all executors share, as the session names it. Where it names none, a folder of our own serves on one machine only;
+    on several, executors would write to their own disks, so there it's an error."""
     own = spark.conf.get("spark.checkpoint.dir", None)
+    if not own and (set_ := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        own = set_.get()
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="vakya-")
         spark.conf.set("spark.checkpoint.dir", own)
         atexit.register(shutil.rmtree, own, True)
@@ -31,19 +39,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _swept: set[str] = set()
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _sweep(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001, S110
-        pass  # the session is gone; the folder bears the application's id
+    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+        return  # the session is gone; the folder bears the application's id
+    _delete(spark, path)
 
 
 def written(df: DataFrame) -> DataFrame:
-    """`df` as a table in the shared folder: it's computed once and survives the loss of executors. Removed when the driver ends."""
+    """`df` as a table in the shared folder: it's computed once and survives the loss of executors. Removed when the driver ends, or by `release`."""
     spark = df.sparkSession
     home = f"{shared_dir(spark)}/vakya-{spark.sparkContext.applicationId}"
     if home not in _swept:
@@ -51,7 +62,44 @@ def written(df: DataFrame) -> DataFrame:
         atexit.register(_sweep, spark, home)
     path = f"{home}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove written tables that nothing still to be computed reads: what was made of them is written itself."""
+    for df in tables:
+        _delete(df.sparkSession, _paths.pop(df))
+
+
+class Sieve:
+    """A set of whole numbers as bits, some others passing with them: it lets rows go on to a join that could meet, and loses none.
+
+    Its size follows the number of members up to `most` bits (32 MB), so what is broadcast is bounded; beyond, more others pass."""
+
+    def __init__(self, members: DataFrame, column: str, most: int = 28) -> None:
+        n = members.count()
+        self.bits = 1 << min(most, max(16, (16 * n).bit_length()))
+        at = F.pmod(F.col(column), F.lit(self.bits)) + 1  # positions count from 1
+        rows = members.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+        self.map = np.zeros(max(4096, self.bits // 8), np.uint8)
+        for r in rows.toLocalIterator():
+            self.map[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+
+    def may_hold(self, x: np.ndarray) -> np.ndarray:
+        at = x.astype(np.int64) & (self.bits - 1)
+        return (self.map[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+    def pass_through(self, rows: DataFrame, column: str) -> DataFrame:
+        """The rows whose column, without nulls, may be a member."""
+        k = rows.columns.index(column)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(self.may_hold(b.column(k).to_numpy(zero_copy_only=False))))
+
+        return rows.mapInArrow(run, rows.schema)
 
 
 def not_blank(text: str):

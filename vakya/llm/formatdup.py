@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vakya.llm.base import WORD_KINDS, assigned, not_blank, table, written
+from vakya.llm.base import WORD_KINDS, Sieve, assigned, not_blank, release, table, written
 
 PRIMES, BASES = (2_147_483_647, 2_147_483_629), (1_000_003, 998_244_353)
 _name = r"\p{L}[\p{L}\p{M}\p{N}_]*"
@@ -176,7 +176,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, m = fold().hashes([texts[i] for i in form]) if len(form) else (h[:0], n[:0])
         rows = pa.array(np.concatenate((np.flatnonzero(n), form)))
         h, n = np.concatenate((h[n != 0], g)), np.concatenate((n[n != 0], m + PLAIN)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(h.view(np.int64)), pa.array(n)], names=["id", "text", "hash", "size"])
+        yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), pa.array(h.view(np.int64)), pa.array(n)], names=["id", "tag", "hash", "size"])
 
 
 @F.pandas_udf(T.BooleanType())
@@ -205,9 +205,13 @@ def components(edges: DataFrame) -> DataFrame | None:
 
 def format_copies(posts: DataFrame) -> DataFrame:
     """(id, text) to (keep_id, copy_id): the least id of each set of copies with each other id."""
-    rows = posts.where(F.col("id").isNotNull() & not_blank("text")).select("id", "text").mapInArrow(_hashed, "id bigint, text string, hash bigint, size bigint")
-    heads = rows.groupBy("hash", "size").agg(F.min("id").alias("keep_id"), F.max("id").alias("last")).where("keep_id < last").drop("last")
-    members = written(rows.join(heads, ["hash", "size"]))
+    texts = posts.where(F.col("id").isNotNull() & not_blank("text")).select("id", "text", F.xxhash64("text").alias("tag"))
+    rows = written(texts.mapInArrow(_hashed, "id bigint, tag bigint, hash bigint, size bigint"))
+    heads = written(rows.groupBy("hash", "size").agg(F.min("id").alias("keep_id"), F.max("id").alias("last")).where("keep_id < last").drop("last"))
+    recurring = Sieve(heads, "hash").pass_through(rows, "hash")  # most posts have no copy, and stop here
+    met = written(recurring.join(heads, ["hash", "size"]).distinct())
+    release(rows)
+    members = written(Sieve(met, "id").pass_through(texts, "id").distinct().join(met, ["id", "tag"]))
     # The least id may be delivered twice with one text; one row of it stands for the group.
     head_text = members.where("id = keep_id").groupBy("hash", "size").agg(F.min("text").alias("head_text"))
     checked = members.where("id > keep_id").join(head_text, ["hash", "size"]).withColumn("same", _same("text", "head_text", "size"))

@@ -1,9 +1,8 @@
 """Problem 5: text that looks the same in one form.
 
-A transducer over grapheme clusters rewrites each text in one pass. Its table holds, for each cluster that differs from its
-plain form, what to write: compatibility forms and combining sequences become the plain (composed) form, characters that
-don't show are left out, look-alike letters of other alphabets become Latin ones. It's compiled as clusters are met and kept,
-so each cluster is worked out once in a process. `conflicts()` proves that no output is itself an input.
+A transducer over grapheme clusters rewrites each text in one pass, the longest cluster first. Its table is compiled before and
+checked for conflicts: compatibility forms and combining sequences become the plain (composed) form, characters that don't show
+are left out, look-alike letters of other alphabets become Latin ones, under accents too. So form(form(x)) = form(x).
 Blanks of any kind count as one space; outer ones are dropped. Case and punctuation stay.
 
 Nulls stay null, blank texts become ''. Neither is a case in `same_look_pairs`, as with keys that are null.
@@ -40,36 +39,74 @@ def unseen() -> set[int]:
     return out
 
 
+def compositions() -> dict[str, tuple[str, str]]:
+    """Each composed character of the standard that a letter and a mark come together in, with the two."""
+    out = {}
+    for p in assigned():
+        d = unicodedata.decomposition(chr(p)).split()
+        if len(d) == 2 and d[0][0] != "<" and unicodedata.is_normalized("NFC", chr(p)):
+            out[chr(p)] = (chr(int(d[0], 16)), chr(int(d[1], 16)))
+    return out
+
+
 class Transducer(dict):
-    """From cluster to plain form; what isn't in the table yet is worked out from the rules."""
+    """From cluster to plain form: a table compiled once a process from the rules, for single characters and for letters that meet
+    a mark (of any width), whatever way the letter is written. Longer clusters, with several marks, are worked out when first met and kept.
+
+    A cluster goes as far as characters can join: marks, vowels and finals of Hangul, half-width sound marks and what doesn't show.
+    So the plain form of a text is that of its clusters, and compiling proves that each output stays as it is when read again."""
 
     def __init__(self, limit: int = 200_000) -> None:
         super().__init__()
         self.limit, self.skip = limit, unseen()
-        self.drop = dict.fromkeys(self.skip)
-        self.latin = str.maketrans(LOOKALIKES)
-        kind = unicodedata.category
-        extend = sorted({p for p in assigned() if kind(chr(p))[0] == "M"} | self.skip | {*range(0x1160, 0x1200)})
-        self.cluster = Runs(extend, "[^X][X]*|[X]+")
-        self.odd = Runs(sorted(self.skip | {*map(ord, LOOKALIKES)}), "[X]")
+        self.to = str.maketrans({**{chr(p): None for p in self.skip}, **LOOKALIKES})
+        kind, pairs = unicodedata.category, compositions()
+        seconds = {b for _, b in pairs.values()} | {chr(p) for p in (*range(0x1160, 0x1176), *range(0x11A8, 0x11C3))}
+        joins, ways = [], {}
+        for p in assigned():
+            if 0xD800 <= p < 0xE000:
+                continue
+            c = chr(p)
+            apart = unicodedata.normalize("NFKD", c)
+            if p in self.skip or kind(c)[0] == "M" or apart[0] in seconds:
+                joins.append(p)
+            if (x := self.plain(c)) != c:
+                self._put(c, x)
+            if len(apart.translate(self.to)) == 1:
+                ways.setdefault(apart.translate(self.to), []).append(c)
+        for a, b in pairs.values():
+            for x in ways.get(unicodedata.normalize("NFKD", a).translate(self.to), ()):
+                for y in ways.get(b, (b,)):
+                    if (z := self.plain(x + y)) != x + y:
+                        self._put(x + y, z)
+        self.odd = Runs(sorted(ord(c) for c in self if len(c) == 1 and unicodedata.is_normalized("NFKC", c)), "[X]")
+        self.cluster = Runs(joins, "[^X][X]*|[X]+")
+        self.compiled = len(self)
+
+    def plain(self, x: str) -> str:
+        """The rules: apart into plain characters, unseen ones out, look-alikes to Latin, together again."""
+        return unicodedata.normalize("NFC", unicodedata.normalize("NFKD", x).translate(self.to))
+
+    def _put(self, cluster: str, out: str) -> None:
+        """An entry; raises where it would contradict another or its output isn't plain itself."""
+        if self.get(cluster, out) != out or self.plain(out) != out:
+            raise ValueError(f"conflict at {cluster!r}")
+        self[cluster] = out
 
     def __missing__(self, cluster: str) -> str:
-        plain = unicodedata.normalize("NFKC", cluster.translate(self.drop)).translate(self.drop)
-        plain = unicodedata.normalize("NFKC", plain.translate(self.latin))
-        if len(self) >= self.limit:
-            self.clear()
-        self[cluster] = plain
-        return plain
+        if len(self) >= self.compiled + self.limit:
+            for k in [*self][self.compiled :]:
+                del self[k]
+        x = self[cluster] = cluster if len(cluster) == 1 else self.plain(cluster)
+        return x
 
     def form(self, text: str) -> str:
-        if self.odd.of(text).search(text) or not unicodedata.is_normalized("NFKC", text):
+        if not text.isascii() and (self.odd.of(text).search(text) or not unicodedata.is_normalized("NFKC", text)):
             text = self.cluster.of(text).sub(lambda m: self[m[0]], text)
+        elif text.isascii() and self.odd.basic.search(text):
+            text = text.translate(self.to)
         return " ".join(text.split())
 
-    def conflicts(self) -> list[str]:
-        """Single characters whose plain form isn't plain itself."""
-        return [c for p in assigned() if not 0xD800 <= p < 0xE000 and (x := self[c := chr(p)]) != c and any(self[y] != y for y in self.cluster.findall(x))]
-
 
 _table: Transducer | None = None
 
@@ -118,13 +155,16 @@ def same_look_classes(texts: DataFrame) -> DataFrame:
 def same_look_pairs(texts: DataFrame) -> DataFrame:
     """(src, key, text) to (src, key_a, key_b): keys of different texts with the same plain form, the smaller first.
 
-    Only forms with several texts go on, so a form that a third of the rows share exactly costs one aggregated row."""
+    Only forms with several texts go on; these are paired as texts first, each once, and then get their keys. So a text that a
+    third of the rows share costs one aggregated row until the pairs asked for are written out."""
     h = written(look_hashes(texts))
     several = h.groupBy("src", "look").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("src", "look")
-    m = h.join(several, ["src", "look"], "left_semi")
-    a = m.select("src", "look", F.col("key").alias("key_a"), F.col("raw").alias("raw_a"))
-    b = m.select("src", "look", F.col("key").alias("key_b"), F.col("raw").alias("raw_b"))
-    return a.join(b, ["src", "look"]).where("key_a < key_b and raw_a <> raw_b").select("src", "key_a", "key_b").distinct()
+    m = written(h.join(several, ["src", "look"], "left_semi"))
+    a, b = (m.select("src", "look", F.col("raw").alias(f"raw_{x}")).distinct() for x in "ab")
+    pairs = a.join(b, ["src", "look"]).where("raw_a < raw_b").drop("look")
+    x, y = (m.select("src", F.col("raw").alias(f"raw_{x}"), F.col("key").alias(x)) for x in "ab")
+    both = pairs.join(x, ["src", "raw_a"]).join(y, ["src", "raw_b"]).where("a <> b")
+    return both.select("src", F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).distinct()
 
 
 def both_texts(spark, sf_dir: str, result_text: str) -> DataFrame:
@@ -144,4 +184,9 @@ def p5_forms(spark, sf_dir: str) -> DataFrame:
     return t.select("src", F.col("key").alias("row_id"), plain_text("text").alias("plain_text")).dropDuplicates(["src", "row_id"])
 
 
-QUERIES = {"p5_found": p5_found, "p5_forms": p5_forms}
+def p5_classes(spark, sf_dir: str) -> DataFrame:
+    """One row per text: the least key that looks the same, and how many different texts do."""
+    return same_look_classes(both_texts(spark, sf_dir, "cleaned_text"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_forms": p5_forms, "p5_classes": p5_classes}

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vakya.llm.base import check_broadcast, not_blank, table, word_pattern, written
+from vakya.llm.base import Sieve, check_broadcast, not_blank, release, table, word_pattern, written
 from vakya.llm.formatdup import components
 from vakya.llm.looks import transducer
 
@@ -58,7 +58,8 @@ def _bags(least: int):
             bits = (np.bincount(cell, minlength=len(n) * BITS) & 1).astype(np.uint8).reshape(-1, BITS)
             sketch = [x.tobytes() for x in np.packbits(bits, axis=1, bitorder="little")]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(words))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seqs, pa.binary()), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), lists], names=["id", "seq", "n", "sketch", "words"])
+            low = [int.from_bytes(x[:4], "big") for x in seqs]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seqs, pa.binary()), pa.array(low, pa.int64()), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), lists], names=["id", "seq", "low", "n", "sketch", "words"])
 
     return run
 
@@ -238,38 +239,14 @@ def _solve_batch(b: pa.RecordBatch, together, last: bool) -> tuple[pa.RecordBatc
     return b.slice(cuts[ends]), found
 
 
-BITMAP = 1 << 24
-
-
-def _only(bitmap: np.ndarray):
-    """Rows whose sequence may be among those of the bitmap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.frombuffer(b"".join(x[:4] for x in b.column(1).to_pylist()), ">u4") & (BITMAP - 1)
-            yield b.filter(pa.array((bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-
-    return run
-
-
-def _bitmap(seqs: DataFrame) -> np.ndarray:
-    """A filter of fixed size for word sequences."""
-    at = F.conv(F.hex(F.substring("seq", 1, 4)), 16, 10).cast("bigint").bitwiseAND(F.lit(BITMAP - 1)) + 1
-    rows = seqs.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    out = np.zeros(BITMAP // 8, np.uint8)
-    check_broadcast(len(out))
-    for r in rows.toLocalIterator():  # positions count from 1
-        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
-
-
-def _near_sequences(posts: DataFrame, t: float, least: int, block: int, cells: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _near_sequences(posts: DataFrame, t: float, least: int, block: int, cells: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(id, text) to pairs of near sequences (seq_a, seq_b), the rows (id, seq) of these, and the rows (id, seq) of all posts with enough words.
 
     Posts with null ids, null or blank texts or fewer than `least` distinct words are in no pair; a repeated id counts once.
-    What is broadcast is one byte for each of `cells` (a power of 2)."""
+    What is broadcast is one byte for each of `cells` (a power of 2; as many as posts, 4 million at most) and a sieve of 32 MB at most."""
     rows = posts.where(F.col("id").isNotNull() & not_blank("text")).select("id", "text")
-    bags = written(rows.mapInArrow(_bags(least), "id bigint, seq binary, n int, sketch binary, words array<bigint>"))
+    bags = written(rows.mapInArrow(_bags(least), "id bigint, seq binary, low bigint, n int, sketch binary, words array<bigint>"))
+    cells = cells or 1 << min(22, max(16, bags.count().bit_length()))
     counts = bags.select(F.explode("words").alias("w")).groupBy(F.expr(f"w >> 8 & {cells - 1}").cast("int").alias("cell")).count()
     counts = counts.select("cell", F.least(F.lit(255), F.round(8 * F.log2("count"))).cast("smallint").alias("n")).toArrow()
     often = np.zeros(cells, np.uint8)
@@ -289,9 +266,12 @@ def _near_sequences(posts: DataFrame, t: float, least: int, block: int, cells: i
         tasks = split.select("word", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "seq", "n", "place", "sketch", "block").repartition("word", "i", "j")
     close = tasks.sortWithinPartitions("word", "i", "j").mapInArrow(_compare(t), "seq_a binary, seq_b binary").distinct()
     close = written(close)
+    release(met)
     sides = written(close.select(F.explode(F.array("seq_a", "seq_b")).alias("seq")).distinct())
-    likely = bags.select("id", "seq", "n", "words").mapInArrow(_only(_bitmap(sides)), "id bigint, seq binary, n int, words array<bigint>")
+    low = F.conv(F.hex(F.substring("seq", 1, 4)), 16, 10).cast("bigint")
+    likely = Sieve(sides.select(low.alias("low")), "low").pass_through(bags.select("id", "seq", "low", "n", "words"), "low").drop("low")
     held = written(likely.join(sides, "seq", "left_semi"))
+    release(sides)
     one = held.dropDuplicates(["seq"])
     a, b = (one.select(F.col("seq").alias(f"seq_{x}"), F.col("n").alias(f"n_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
     shared = F.size(F.array_intersect("words_a", "words_b"))
@@ -299,26 +279,30 @@ def _near_sequences(posts: DataFrame, t: float, least: int, block: int, cells: i
     return pairs, held.select("id", "seq"), bags.select("id", "seq")
 
 
-def near_pairs(posts: DataFrame, t: float = 0.8, least: int = 10, block: int = 2048, cells: int = 1 << 19) -> DataFrame:
+def near_pairs(posts: DataFrame, t: float = 0.8, least: int = 10, block: int = 2048, cells: int | None = None) -> DataFrame:
     """(id, text) to (id_a, id_b), the smaller first: see the module's text."""
     pairs, held, _ = _near_sequences(posts, t, least, block, cells)
     x, y = (held.select(F.col("id").alias(k), F.col("seq").alias(f"seq_{k}")).distinct() for k in "ab")
     return pairs.join(x, "seq_a").join(y, "seq_b").select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).where("id_a < id_b").distinct()
 
 
-def near_classes(posts: DataFrame, t: float = 0.8, least: int = 10, block: int = 2048, cells: int = 1 << 19) -> DataFrame:
-    """(id, text) to (id, class_id), one row per id: the least id that near pairs and equal word sequences lead to.
+def near_classes(posts: DataFrame, t: float = 0.8, least: int = 10, block: int = 2048, cells: int | None = None) -> DataFrame:
+    """(id, text) to (id, class_id, n_links), one row per id: the least id that near pairs and equal word sequences lead to, and the
+    number of posts with another word sequence that are near.
 
     Each sequence is stood for by its least id, so a class of many copies is a few edges. A post in no pair is a class of its own or of its copies."""
     pairs, _, bags = _near_sequences(posts, t, least, block, cells)
-    first = written(bags.groupBy("seq").agg(F.min("id").alias("first")))
+    pairs = written(pairs)
+    first = written(bags.groupBy("seq").agg(F.min("id").alias("first"), F.count_distinct("id").alias("n_posts")))
+    both = pairs.unionAll(pairs.select(F.col("seq_b").alias("seq_a"), F.col("seq_a").alias("seq_b")))
+    links = both.join(first.select(F.col("seq").alias("seq_b"), "n_posts"), "seq_b").groupBy(F.col("seq_a").alias("seq")).agg(F.sum("n_posts").alias("n_links"))
     a, b = (first.select(F.col("seq").alias(f"seq_{x}"), F.col("first").alias(x)) for x in "ab")
     moved = components(pairs.join(a, "seq_a").join(b, "seq_b").select("a", "b"))
-    of = bags.join(first, "seq").groupBy("id").agg(F.min("first").alias("class_id"))
+    of = bags.select("id", "seq").join(first.join(links, "seq", "left").drop("n_posts"), "seq").groupBy("id").agg(F.min("first").alias("class_id"), F.max("n_links").alias("n_links"))
     if moved is not None:
-        of = of.join(moved.withColumnRenamed("node", "class_id"), "class_id", "left").select("id", F.coalesce("least", "class_id").alias("class_id"))
+        of = of.join(moved.withColumnRenamed("node", "class_id"), "class_id", "left").select("id", F.coalesce("least", "class_id").alias("class_id"), "n_links")
     ids = posts.where("id is not null").select("id").distinct()
-    return ids.join(of, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
+    return ids.join(of, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _posts(spark, sf_dir: str) -> DataFrame:
