@@ -4,12 +4,15 @@ A positional inverted index, split by documents: each shard holds, for the terms
 up their positions), the sorted positions of its occurrences in the shard's documents laid end to end with gaps. The index is a
 table, one row per shard; shards are made where the text is read and searched where they are, so nothing is shuffled and no
 posting list is gathered.
-A search takes, from every window of `run` words of an item, the term that is rarest in the shard, moves its postings by its
-offset to where the item would begin, and intersects them with the neighbours' postings moved likewise. A run of `run` words
-in a row on one such diagonal is a phrase match; the item's words within `slack` of it count for proximity.
+A search goes from the shard's terms to items: every window of `run` words of an item is entered under the term of it that is rarest
+in all items, so a shard looks only at items some window of which it may hold, however many items there are. Of these it takes, from
+every window, the term that is rarest in the shard, moves its postings by its offset to where the item would begin, and intersects
+them with the neighbours' postings moved likewise. A run of `run` words in a row on one such diagonal is a phrase match; the
+item's words within `slack` of it count for proximity.
 A proximity match of its own needs no phrase: on some diagonal `share` of the item's words are within `slack`. One of the item's
 rarest words must then be among them, so only diagonals near the postings of these are tried, and left once too many words miss.
 
+Items go to the executors in blocks of bounded size, each searched for in all documents; a usual set of test items is one block.
 Items and documents with null ids or texts, and items of fewer than `run` words, are in no result. Repeated rows count once.
 """
 
@@ -22,23 +25,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vakya.llm.base import check_broadcast, deep_size, table, words_of
+from vakya.llm.base import table, words_of
 
 RUN, SLACK, SHARD, SHARE = 13, 8, 400_000, 0.8
+#: Words of test items that are sent to the executors at once, about 50 MB.
+BLOCK = 1_000_000
 INDEX = "doc_ids array<bigint>, starts array<int>, terms array<int>, ends array<int>, positions array<int>"
 
 
-def read_items(items: DataFrame, run: int = RUN) -> list[tuple[int, list[str]]]:
-    """The test items as words: a set that doesn't grow with the corpus; its size is checked."""
+def read_items(items: DataFrame, run: int = RUN, most: int = BLOCK) -> Iterator[list[tuple[int, list[str]]]]:
+    """The test items as words, in blocks of about `most` words."""
     rows = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct().toLocalIterator()
     out, size = [], 0
     for i, t in rows:
         w = words_of(t)
         if len(w) >= run:
             out.append((i, w))
-            size += deep_size(w)
-            check_broadcast(size)
-    return out
+            size += len(w)
+            if size >= most:
+                yield out
+                out, size = [], 0
+    if out:
+        yield out
+
+
+class Items:
+    """Test items by number of word, and which of them a term of a shard may lead to."""
+
+    def __init__(self, items: list[tuple[int, list[str]]]) -> None:
+        self.number: dict[str, int] = {}
+        self.all = [(i, np.array([self.number.setdefault(x, len(self.number)) for x in w], np.int32)) for i, w in items]
+        self.often = np.bincount(np.concatenate([w for _, w in self.all]), minlength=len(self.number))
+
+    def entries(self, places) -> dict[int, list[int]]:
+        """Term to items; places: from a word's frequencies to the places of an item under whose terms it is entered."""
+        out: dict[int, list[int]] = {}
+        for k, (_, w) in enumerate(self.all):
+            for t in {*w[places(self.often[w])].tolist()}:
+                out.setdefault(t, []).append(k)
+        return out
+
+    def some(self, entries: dict[int, list[int]], terms: list[int]) -> list[tuple[int, np.ndarray]]:
+        return [self.all[k] for k in sorted({k for t in terms for k in entries.get(t, ())})]
 
 
 def _shards(number: dict[str, int], limit: int):
@@ -78,16 +106,18 @@ def build_index(documents: DataFrame, vocabulary: dict[str, int], shard: int = S
     return rows.mapInArrow(_shards(vocabulary, shard), INDEX)
 
 
-def _matches(items: list[tuple[int, np.ndarray]], run: int, slack: int):
+def _matches(items: Items, run: int, slack: int):
     none = np.zeros(0, np.int64)
+    windows_of = np.lib.stride_tricks.sliding_window_view
+    entries = items.entries(lambda often: np.unique(np.arange(len(often) - run + 1) + windows_of(often, run).argmin(axis=1)))
 
     def shard(doc_ids, starts, terms, ends, positions):
         first = np.concatenate(([0], ends[:-1]))
         where = {t: (a, b) for t, a, b in zip(terms.tolist(), first.tolist(), ends.tolist())}
         postings = lambda t: positions[slice(*where[t])] if t in where else none
-        for item, w in items:
+        for item, w in items.some(entries, terms.tolist()):
             df = np.array([b - a for a, b in (where.get(t, (0, 0)) for t in w.tolist())])
-            windows = np.lib.stride_tricks.sliding_window_view(df, run)
+            windows = windows_of(df, run)
             possible = np.flatnonzero(windows.min(axis=1) > 0)
             if not len(possible):
                 continue
@@ -125,17 +155,23 @@ def _within(p: np.ndarray, at: np.ndarray, slack: int, start, stop) -> np.ndarra
     return np.searchsorted(p, np.minimum(stop, at + slack + 1)) > np.searchsorted(p, np.maximum(start, at - slack))
 
 
-def _near(items: list[tuple[int, np.ndarray]], share: float, slack: int):
+def _need(words, share: float) -> int:
+    """How many words of an item a proximity match must hold."""
+    return -int(-share * len(words) // 1)
+
+
+def _near(items: Items, share: float, slack: int):
     none = np.zeros(0, np.int64)
+    entries = items.entries(lambda often: np.argsort(often, kind="stable")[: len(often) - _need(often, share) + 1])
 
     def shard(doc_ids, starts, terms, ends, positions):
         first = np.concatenate(([0], ends[:-1]))
         where = {t: (a, b) for t, a, b in zip(terms.tolist(), first.tolist(), ends.tolist())}
         begins, limits = starts.astype(np.int64), np.append(starts[1:], 2**31 - 1).astype(np.int64)
         positions = positions.astype(np.int64)
-        for item, w in items:
+        for item, w in items.some(entries, terms.tolist()):
             lists = [positions[slice(*where[t])] if t in where else none for t in w.tolist()]
-            need = -int(-share * len(w) // 1)
+            need = _need(w, share)
             order = sorted(range(len(w)), key=lambda o: len(lists[o]))
             at = np.concatenate([lists[o] for o in order[: len(w) - need + 1]])
             if not len(at):
@@ -173,21 +209,24 @@ def _search(shard):
     return search
 
 
-def _found(documents: DataFrame, items: DataFrame, run: int, shard: int, search) -> DataFrame:
-    number: dict[str, int] = {}
-    coded = [(i, np.array([number.setdefault(x, len(number)) for x in w], np.int32)) for i, w in read_items(items, run)]
-    found = build_index(documents, number, shard).mapInArrow(search(coded), "doc_id bigint, item_id bigint, near_words bigint")
+def _found(documents: DataFrame, items: DataFrame, run: int, shard: int, search, most: int) -> DataFrame:
+    kind, found = "doc_id bigint, item_id bigint, near_words bigint", None
+    for block in map(Items, read_items(items, run, most)):
+        one = build_index(documents, block.number, shard).mapInArrow(search(block), kind)
+        found = one if found is None else found.unionAll(one)
+    if found is None:
+        found = documents.sparkSession.createDataFrame([], kind)
     return found.groupBy("doc_id", "item_id").agg(F.max("near_words").alias("near_words"))
 
 
-def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, slack: int = SLACK, shard: int = SHARD) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, slack: int = SLACK, shard: int = SHARD, most: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, near_words): documents holding `run` words of an item in a row; near_words: the most of the item's words in proximity."""
-    return _found(documents, items, run, shard, lambda coded: _matches(coded, run, slack))
+    return _found(documents, items, run, shard, lambda coded: _matches(coded, run, slack), most)
 
 
-def near_leaks(documents: DataFrame, items: DataFrame, run: int = RUN, slack: int = SLACK, shard: int = SHARD, share: float = SHARE) -> DataFrame:
+def near_leaks(documents: DataFrame, items: DataFrame, run: int = RUN, slack: int = SLACK, shard: int = SHARD, share: float = SHARE, most: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, near_words): documents with `share` of an item's words in proximity, whether in a row or not."""
-    return _found(documents, items, run, shard, lambda coded: _near(coded, share, slack))
+    return _found(documents, items, run, shard, lambda coded: _near(coded, share, slack), most)
 
 
 def _in(s, d: str) -> tuple[DataFrame, DataFrame]:
