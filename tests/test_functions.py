@@ -139,8 +139,12 @@ def test_translation_gate(spark, source, target, reason):
 
 
 def test_prompts_and_budgets(spark):
-    assert values(spark, [("x", "hi")], "x string, lang string", quality.model_prompt("x", "lang", "tagged")) == ["hin_Deva eng_Latn x"]
-    assert values(spark, [("x", "hi")], "x string, lang string", quality.model_prompt("x", "lang", "prefix")) == ["<2en> x"]
+    assert values(spark, [("x", "hi")], "x string, lang string", quality.model_prompt("x", "lang", "indictrans2")) == ["hin_Deva eng_Latn x"]
+    assert values(spark, [("x", "hi")], "x string, lang string", quality.model_prompt("x", "lang", "madlad")) == ["<2en> x"]
+    assert values(spark, [("x", "hi")], "x string, lang string", quality.model_prompt("x", "lang", "nllb")) == ["x"]
+    assert values(spark, [("x", "ur")], "x string, lang string", quality.model_prompt("x", "lang", "indictrans2")) == [None]  # plain tags lead astray
+    with pytest.raises(ValueError):
+        quality.model_prompt("x", "lang", "tagged")
     assert values(spark, [(0,), (10,), (1000,)], "n int", quality.generation_budget("n")) == [32, 57, 256]
     assert one(spark, quality.route("x"), "en", "te", "fr", None) == ["bypass", "translate", "passthrough", "passthrough"]
 
@@ -157,7 +161,7 @@ def result(spark, column, **change):
     "change, signal",
     [
         ({}, None), ({"english_text": "two words"}, "very_short"), ({"post_text": "x" * 4001}, "truncated"), ({"confidence": 0.5}, "low_sentiment_confidence"), ({"post_text": "abc कखग"}, "code_mixed"),
-        ({"was_transliterated": True}, "romanized_indic_transliterated"), ({"fallback_used": True}, "pipeline_fallback"), ({"translation_truncated": True}, "translation_truncated"), ({"sentiment_truncated": True}, "sentiment_truncated"),
+        ({"was_transliterated": True}, "romanized_indic_transliterated"), ({"fallback_used": True}, "ollama_pipeline_fallback"), ({"translation_truncated": True}, "translation_truncated"), ({"sentiment_truncated": True}, "sentiment_truncated"),
         ({"language": "te"}, "translation_unavailable"), ({"post_text": "RT @bob hello"}, "quoted_or_forwarded"), ({"post_text": "Click  here now"}, "possible_spam"), ({"post_text": "#a #b #c #d #e #f #g #h"}, "possible_spam"),
         ({"post_text": "http://a http://b www.c"}, "link_heavy"), ({"english_text": "a b c word word word"}, "possible_ocr_noise"),
     ],
@@ -188,7 +192,7 @@ def test_replies(spark):
         'Sure: {"category": "Aliens", "risk_score": "abc"} done', '[1, 2]', "no json", '{"risk_score": -3, "reasoning": "x"}', '{"risk_score": 250}', '{"risk_score": "Infinity"}', None,
     ]
     got = one(spark, intel.validated("x"), *replies)
-    assert tuple(got[0]) == ("Cyber Crime", "Rumor", "Rumor", 72, "r", "s", "Monitor", "high")
+    assert tuple(got[0]) == ("Cyber Crime", "Rumor", "Rumor", 72, "r", "s", "Monitor", "high", [])
     assert (got[1]["category"], got[1]["risk_score"], got[1]["recommended_action"]) == ("Unknown", 0, "Human Review")
     assert [g["risk_score"] for g in got[4:7]] == [0, 100, 0]
     assert one(spark, intel.json_object("x"), *replies)[2:4] == [None, None]

@@ -1,5 +1,7 @@
 """Policy packs, replies that translate and judge at once, and report tables."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,18 +13,29 @@ from vakya.plans.queries import QUERIES
 def test_packs(spark):
     p = policy.parse_pack({"name": "n", "categories": [{"id": " A ", "definition": "d" * 600, "keywords": [" k ", ""]}, {"id": "B", "severity": "high"}]})
     assert [c.id for c in p.categories] == ["A", "B", "Unknown"] and len(p.categories[0].definition) == 500 and p.categories[0].keywords == ("k",)
-    assert policy.parse_pack(None) is policy.DEFAULT and len(policy.DEFAULT.allowed()) == 13
-    for bad in ({}, {"categories": []}, {"categories": [{"id": ""}]}, {"categories": [{"id": "a"}, {"id": "A"}]}, {"categories": [{"id": "a"}], "unknown_label": "b"}, {"categories": [{"id": str(i)} for i in range(129)]}, {"categories": [{"id": "x" * 97}]}):
+    assert policy.parse_pack(None) is policy.DEFAULT is policy.parse_pack({}) and len(policy.DEFAULT.allowed()) == 13
+    assert len(policy.parse_pack({"categories": [{"id": "a"}, {"id": "A"}]}).categories) == 3  # ids are compared as they are
+    assert policy.parse_pack({"categories": [{"id": "a", "definition": " d "}]}).categories[0].definition == " d " and policy.parse_pack({"categories": [{"id": "a"}]}).name == "caller"
+    for bad in ({"categories": []}, {"categories": [{"id": ""}]}, {"categories": ["a"]}, {"categories": [{"id": "a", "keywords": "k"}]}, {"categories": [{"id": "a"}, {"id": "a"}]}, {"categories": [{"id": "a"}], "unknown_label": "b"}, {"categories": [{"id": str(i)} for i in range(129)]}, {"categories": [{"id": "x" * 97}]}):
         with pytest.raises(ValueError):
             policy.parse_pack(bad)
     s = policy.reply_schema(p, "free", True)
     assert s["properties"]["category"]["enum"] == ["A", "B", "Unknown"] and "intent_label" in s["required"] and s["required"][-1] == "keyword_context"
-    assert "keyword_context" not in policy.reply_schema(p)["properties"]
+    plain = policy.reply_schema(p)
+    assert "keyword_context" in plain["properties"] and "keyword_context" not in plain["required"] and "additionalProperties" not in plain
+    assert policy.system_prompt(p, "free", True).count("keyword_context") == 2 and "intent_label" not in policy.system_prompt(p)
+
+
+def test_fingerprints_worked_out_by_hand():
+    assert policy.DEFAULT.fingerprint() == "sha256:88b29680510e42c9bacb6d6c9c6799c7be0f693bfe2716461227476faaf6fd4b"
+    text = '{"categories":[{"definition":"","id":"B","keywords":["సడక్"],"severity":"high"},{"definition":"d","id":"A","keywords":[],"severity":""},{"definition":"","id":"Unknown","keywords":[],"severity":""}],"intent_mode":"free","unknown_label":"Unknown"}'
+    p = policy.parse_pack({"categories": [{"id": "B", "severity": "high", "keywords": ["సడక్"]}, {"id": "A", "definition": "d"}]})
+    assert p.fingerprint("free") == "sha256:" + hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_fingerprint_is_the_same_in_spark_and_python(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/policy_category.parquet").collect()
-    pack = policy.Pack("t", tuple(policy.Category(r["category_id"], r["definition"], r["severity"], tuple(r["keywords"])) for r in rows))
+    pack = policy.Pack("t", tuple(policy.Category(r["category_id"], r["definition"] or "", r["severity"] or "", tuple(r["keywords"])) for r in rows))
     assert QUERIES["policy_fingerprint"](spark, "/root/testdata/sf0.001").first()[0] == pack.fingerprint()
     assert policy.pack_table(spark, pack).count() == 13
 
@@ -35,6 +48,7 @@ def test_fingerprint_is_the_same_in_spark_and_python(spark):
         ('{"english_text": "The road is bad", "sentiment": "Negative", "confidence": 1.5}', "confidence"),
         ('{"english_text": "The road is bad", "sentiment": "Negative", "confidence": "0.9"}', "confidence"),
         ('{"english_text": "The road is bad", "sentiment": "Mixed", "confidence": 0.9}', "sentiment"),
+        ('{"english_text": 5, "sentiment": "Negative", "confidence": 0.9}', "no text"),
         ('{"english_text": " ", "sentiment": "Negative", "confidence": 0.9}', "no text"),
         ('{"english_text": "The road is bad", "sentiment": "Negative"}', "keys"),
         ('{"english_text": "x y", "sentiment": "Negative", "confidence": 0.9, "more": 1}', "keys"),

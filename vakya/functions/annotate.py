@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vakya.functions.lexicons import LABELS, LOW_CONFIDENCE
+from vakya.functions.lexicons import LABELS, LOW_CONFIDENCE, SENTIMENT_TOKENS
 from vakya.functions.text import col
 
 
@@ -38,6 +38,31 @@ def safe_time(x: Column | str) -> Column:
     return F.when(finite(x), F.greatest(F.lit(0.0), col(x).cast("double"))).otherwise(F.lit(0.0))
 
 
+def failure_record() -> Column:
+    """Of a row that is no valid result, the record of its failure; null for valid rows."""
+    record = F.struct(
+        "post_text", F.coalesce("language", F.lit("unknown")).alias("language"), F.coalesce("was_transliterated", F.lit(False)).alias("was_transliterated"), safe_time("total_time_ms").alias("deterministic_time_ms"),
+        F.lit("InvalidPipelineResult").alias("reason"), safe_time("translation_time_ms").alias("translation_time_ms"),
+    )
+    return F.when(~F.coalesce(is_valid_result(), F.lit(False)), record)
+
+
+def strict(df: DataFrame, failure: Column | str) -> DataFrame:
+    """The rows, of which any failure fails the query."""
+    return df.where(F.assert_true(col(failure).isNull(), F.concat(F.lit("the pipeline failed for a post: "), col(failure).cast("string"))).isNull())
+
+
+def sentiment_truncated(n_tokens: Column | str, longest: int = SENTIMENT_TOKENS) -> Column:
+    """Whether a text has more tokens than the sentiment model reads; false where they couldn't be counted."""
+    return F.coalesce(col(n_tokens) > longest, F.lit(False))
+
+
+def top_labels(scores: Column | str, k: int = 3) -> Column:
+    """Of an array of (label, score) the k best, by score and then label."""
+    x = F.transform(col(scores), lambda r: F.struct((-r["score"]).alias("s"), r["label"].alias("label"), r["score"].alias("score")))
+    return F.transform(F.slice(F.array_sort(x), 1, k), lambda r: F.struct(r["label"].alias("label"), r["score"].alias("score")))
+
+
 def label_mapping(names: dict[int, str]) -> dict[int, int]:
     """From a model's classes to canonical ids; raises for names it doesn't know."""
     if all(n.upper() == f"LABEL_{i}" for i, n in names.items()) and len(names) in (2, 3):

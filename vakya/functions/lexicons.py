@@ -62,3 +62,16 @@ CODE_MIX, LOW_CONFIDENCE, SHORT_WORDS, MAX_CHARS, MAX_RATIO, REPEAT_RATIO = 0.15
 # What stands for a reply's missing parts.
 NO_REASONING = "The model returned no reasoning for this assessment."
 NO_SUMMARY = "No summary was produced for this post."
+
+# The record of a post that can't be assessed, by why: what it says and which action it asks for.
+NO_ASSESSMENT = "No intelligence assessment could be produced for this post."
+TRIAGE = {
+    "blank": ("The post is empty or contains only whitespace; there is no content to assess.", "Ignore"),
+    "media": ("The post is a media placeholder with no accompanying text. The attached media itself was not available for assessment.", "Human Review"),
+    "no text": ("The post contains no textual content once links are removed (emoji, punctuation or URL only), so intent, category and contextual risk cannot be assessed from text.", "Ignore"),
+    "no translation": ("The pipeline produced no English text for this post, so no assessment can be made from the translation.", "Human Review"),
+}
+PROVIDER_FAILED = "The intelligence provider could not be reached or returned an unusable response ({}). The deterministic sentiment result is unaffected and remains valid."
+
+# Limits of requests and tokens.
+MAX_TEXTS, MAX_TEXT_CHARS, MAX_TOTAL_CHARS, SHORTEST_WAIT, LONGEST_WAIT, SENTIMENT_TOKENS = 256, 5000, 200_000, 5.0, 600.0, 128

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vakya.functions.lexicons import FLORES, MAX_RATIO, NEGATION, NEGATIVE, POSITIVE, REPEAT_RATIO, SOURCE_NEGATION, SOURCE_NEGATIVE, SOURCE_POSITIVE
 from vakya.functions.roman import polarity_tokens
-from vakya.functions.script import arabic_ratio
+from vakya.functions.script import arabic_ratio, count_in, facts
 from vakya.functions.text import col, let, lookup, squeezed_ends, words
 
 
@@ -63,10 +63,22 @@ def top_share(x: Column | str) -> Column:
         run = F.when(w == a["last"], a["run"] + 1).otherwise(F.lit(1))
         return F.struct(w.alias("last"), run.alias("run"), F.greatest(a["most"], run).alias("most"))
 
-    most = lambda w: F.aggregate(F.array_sort(w), start, step, lambda a: a["most"])
+    most = lambda w: F.aggregate(F.sort_array(w), start, step, lambda a: a["most"])
     return let(words(F.lower(col(x))), lambda w: F.when(F.size(w) >= 8, most(w) / F.size(w)).otherwise(F.lit(0.0)))
 
 
+def repeats(x: Column | str, ratio: float = REPEAT_RATIO) -> Column:
+    """Whether a token makes up this share of eight tokens or more. Sorted, equal tokens are a run; a run as long as asked for covers
+    one of the places that far apart, so only the tokens there are counted."""
+
+    def some(w: Column) -> Column:
+        step = F.ceil(F.size(w) * ratio).cast("int")
+        often = lambda k: F.size(F.filter(w, lambda v: v == F.try_element_at(w, step * k)))
+        return (F.size(w) >= 8) & F.coalesce(F.greatest(F.lit(0), *map(often, range(1, int(1 / ratio) + 1))) >= F.size(w) * ratio, F.lit(False))
+
+    return let(F.sort_array(words(F.lower(col(x)))), some)
+
+
 def unusable_reason(source: Column | str, target: Column | str) -> Column:
     """Why a translation can't be one, by the first rule that says so; null if it can."""
 
@@ -76,16 +88,16 @@ def unusable_reason(source: Column | str, target: Column | str) -> Column:
             F.when(t == "", "empty")
             .when(F.lower(s) == F.lower(t), "unchanged")
             .when(n == 0, "no letters")
-            .when(F.regexp_count(t, F.lit("[A-Za-z]")) / F.when(n > 0, n) < 0.6, "not latin")
-            .when((arabic_ratio(s) >= 0.5) & (arabic_ratio(t) >= 0.2), "arabic left")
+            .when(count_in(t, "A-Za-z") / F.when(n > 0, n) < 0.6, "not latin")
+            .when((v["sa"] >= 0.5) & (v["ta"] >= 0.2), "arabic left")
             .when(F.length(t) > F.greatest(F.lit(256), F.floor(F.length(s) * MAX_RATIO)), "too long")
-            .when(top_share(t) >= REPEAT_RATIO, "repeats")
+            .when(repeats(t), "repeats")
             .when(~polarity_preserved(s, t), "polarity")
         )
 
     ends = lambda x: squeezed_ends(F.coalesce(col(x), F.lit("")))
-    bound = let(F.struct(ends(source).alias("s"), ends(target).alias("t")), lambda v: F.struct(v["s"].alias("s"), v["t"].alias("t"), F.regexp_count(v["t"], F.lit(r"\p{L}")).alias("n")))
-    return let(bound, decide)
+    s, t = ends(source), ends(target)
+    return let(F.struct(s.alias("s"), t.alias("t"), facts(t)["letters"].alias("n"), arabic_ratio(s).alias("sa"), arabic_ratio(t).alias("ta")), decide)
 
 
 def route(lang: Column | str) -> Column:
@@ -98,10 +110,20 @@ def flores_code(lang: Column | str) -> Column:
 
 
 def model_prompt(x: Column | str, lang: Column | str, family: str) -> Column:
-    """The text as a family of models wants it: 'tagged' with both languages, 'prefix' with the target's, else as it is."""
-    if family == "tagged":
-        return F.concat_ws(" ", flores_code(lang), F.lit("eng_Latn"), col(x))
-    return F.concat(F.lit("<2en> "), col(x)) if family == "prefix" else col(x)
+    """The text as a family of models wants it: with tags of both languages, with the target's, or as it is (the tokenizer is told
+    the language). Plain tags lead astray for Urdu, which needs the family's own preprocessing: there it's null, no prompt."""
+    if family == "indictrans2":
+        return F.when(col(lang) != "ur", F.concat_ws(" ", flores_code(lang), F.lit("eng_Latn"), col(x)))
+    if family == "madlad":
+        return F.concat(F.lit("<2en> "), col(x))
+    if family == "nllb":
+        return col(x)
+    raise ValueError(f"no family of models {family!r}")
+
+
+def decoded(x: Column | str) -> Column:
+    """What a model wrote, without blanks around it."""
+    return squeezed_ends(x)
 
 
 def generation_budget(n_tokens: Column | str, longest: int = 256, ratio: float = 2.5, margin: int = 32) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vakya.functions.lexicons import CUE_LANG, CUES, FLORES, LATIN_LABELS, PRESERVED, SOURCE_NEGATION, SOURCE_NEGATIVE, SOURCE_POSITIVE, TELUGU, URDU, URDU_KEPT
+from vakya.functions.rx import CORES
 from vakya.functions.script import extract_latin, is_latin, latin_ratio, unique_language
 from vakya.functions.text import col, let, lookup, words
 
@@ -35,28 +38,39 @@ def is_preserved(x: Column) -> Column:
     return x.rlike("^[A-Z]{2,6}$") | _in(F.lower(x), PRESERVED) | _in(collapsed(x), PRESERVED)
 
 
-def cores(x: Column | str) -> Column:
-    """The Latin words of a text without what's around them."""
-    tokens = F.filter(words(F.regexp_replace(col(x), "[.!,?;:]+", " ")), lambda t: t.rlike(CORE))
-    return F.transform(tokens, lambda t: F.regexp_extract(t, CORE, 2))
+def cores(x: Column | str, signs: str = ".!,?;:", only=None) -> Column:
+    """The Latin words of a text without what's around them, between blanks and these signs: one search of the text. With `only`, just
+    those that are among these words in lower case, as they are or with repeated letters once."""
+    pattern = CORES.replace("D", signs)
+    if only:
+        # Without repeated letters a word is that of any drawn-out form of it.
+        forms = [w if re.search(r"(.)\1", w) else "".join(f"{c}+" for c in w) for w in only]
+        pattern = pattern.replace("[A-Za-z]++", f"(?i:{'|'.join(forms)})(?![A-Za-z])")
+    return F.regexp_extract_all(col(x), F.lit(pattern), F.lit(1))
+
+
+def _key(c: Column, of) -> Column:
+    """The word of the set that a core found by `only` is."""
+    return F.when(_in(F.lower(c), of), F.lower(c)).otherwise(collapsed(c))
 
 
 def cue_hits(x: Column | str) -> Column:
     """An array of (key, lang): cue words, looked up as written and with repeated letters once."""
-    found = F.transform(
-        F.filter(cores(x), lambda c: ~is_preserved(c)),
-        lambda c: F.when(_in(F.lower(c), CUE_LANG), F.lower(c)).when(_in(collapsed(c), CUE_LANG), collapsed(c)),
-    )
-    return F.transform(F.filter(found, lambda k: k.isNotNull()), lambda k: F.struct(k.alias("key"), _cue(k).alias("lang")))
+    found = F.transform(F.filter(cores(x, only=CUE_LANG), lambda c: ~is_preserved(c)), lambda c: _key(c, CUE_LANG))
+    return F.transform(found, lambda k: F.struct(k.alias("key"), _cue(k).alias("lang")))
 
 
 def cue_count(x: Column | str) -> Column:
     return F.size(cue_hits(x))
 
 
-def cue_language(x: Column | str) -> Column:
+def hits_language(hits: Column | str) -> Column:
     """The one language that all cues tell, else null."""
-    return let(F.array_distinct(F.transform(cue_hits(x), lambda h: h["lang"])), lambda langs: F.when(F.size(langs) == 1, langs[0]))
+    return let(F.array_distinct(F.transform(col(hits), lambda h: h["lang"])), lambda langs: F.when(F.size(langs) == 1, langs[0]))
+
+
+def cue_language(x: Column | str) -> Column:
+    return hits_language(cue_hits(x))
 
 
 def residual(x: Column | str) -> Column:
@@ -67,9 +81,7 @@ def residual(x: Column | str) -> Column:
 def polarity_tokens(x: Column | str) -> Column:
     """The English words of polarity or negation in a text, each once, sorted."""
     known = (*SOURCE_POSITIVE, *SOURCE_NEGATIVE, *SOURCE_NEGATION)
-    tokens = F.filter(words(F.regexp_replace(col(x), r"\.", " ")), lambda t: t.rlike(CORE))
-    core = F.transform(tokens, lambda t: F.lower(F.regexp_extract(t, CORE, 2)))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(core, lambda c: F.when(_in(c, known), c).when(_in(collapsed(c), known), collapsed(c))), lambda c: c.isNotNull())))
+    return F.sort_array(F.array_distinct(F.transform(cores(x, ".", known), lambda c: _key(c, known))))
 
 
 def _spelled(t: Column, lang: Column, other) -> Column:
@@ -88,11 +100,15 @@ def _spelled(t: Column, lang: Column, other) -> Column:
     )
 
 
+def spellable(x: Column | str, lang: Column | str) -> Column:
+    return F.coalesce(col(lang).isin(*[k for k in FLORES if k != "en"]) & (F.trim(col(x)) != ""), F.lit(False))
+
+
 def transliterate_rules(x: Column | str, lang: Column | str) -> Column:
     """Native spellings by rule; words for a model stay as they are. Null for blank texts and English or other languages."""
     t, lang = col(x), col(lang)
     out = F.array_join(F.transform(F.split(t, " "), lambda w: _spelled(w, lang, lambda w, *_: w)), " ")
-    return F.when(lang.isin(*[k for k in FLORES if k != "en"]) & (F.trim(t) != ""), out)
+    return F.when(spellable(t, lang), out)
 
 
 def model_words(x: Column | str, lang: Column | str) -> Column:
@@ -102,6 +118,12 @@ def model_words(x: Column | str, lang: Column | str) -> Column:
     return F.array_distinct(F.transform(F.filter(w, lambda t: t.startswith(mark)), lambda t: F.substring(t, 2, 2**30)))
 
 
+def with_spellings(x: Column | str, lang: Column | str, native: Column | str) -> Column:
+    """The text with its words spelled by rule and by a map from words to spellings; null if one of them has none."""
+    words_ = F.transform(F.split(col(x), " "), lambda w: _spelled(w, col(lang), lambda w, b, once, a: F.concat(b, F.try_element_at(col(native), once), a)))
+    return F.when(~F.exists(words_, lambda w: w.isNull()), F.array_join(words_, " "))
+
+
 def model_input(word: Column | str, lang: Column | str) -> Column:
     return F.concat(F.lit("__"), col(lang), F.lit("__ "), F.array_join(F.split(F.lower(col(word)), ""), " "))
 
@@ -119,13 +141,12 @@ def refine_language(x: Column | str, lang: Column | str, better) -> Column:
     def decide(v: Column) -> Column:
         return (
             F.when(unsure & v["unique"].isNotNull(), v["unique"])
-            .when(v["blank"] | v["new"].isNull(), lang)
+            .when(F.coalesce(F.trim(v["probe"]), F.lit("")).eqNullSafe(F.lit("")) | v["new"].isNull(), lang)
             .when(~unsure & (v["new"] == "en"), lang)
             .otherwise(v["new"])
         )
 
-    seen = let(probe, lambda p: F.struct(unique_language(t).alias("unique"), (p.isNull() | (F.trim(p) == "")).alias("blank"), better(p).alias("new")))
-    return let(seen, decide)
+    return let(F.struct(unique_language(t).alias("unique"), probe.alias("probe"), better(probe).alias("new")), decide)
 
 
 def roman_language(x: Column | str, ranked: Column | str, bert: Column | str, rest: Column | str) -> Column:

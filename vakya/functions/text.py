@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vakya.functions.lexicons import LABEL_FORMS, LABELS
-from vakya.functions.rx import URL, W_IN, WS
+from vakya.functions.rx import BLANK, LINK, NOT_BLANK, W_IN
 
 
 def col(x: Column | str) -> Column:
@@ -30,28 +30,41 @@ def lookup(pairs: dict[str, str], key: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def unescaped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Character references of HTML, all of them, become characters."""
+def _unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
-        yield s.map(lambda t: html.unescape(t) if "&" in t else t, na_action="ignore")
+        yield s.map(html.unescape, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
-def composed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Normal form C, which Spark has no function for."""
+def _compose(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+def _in_python(f, x: Column, where: Column) -> Column:
+    """f of the rows that need it: only their texts leave the JVM."""
+    return F.coalesce(f(F.when(where, x)), x)
+
+
+def unescaped(x: Column) -> Column:
+    """Character references of HTML, all of them, become characters."""
+    return _in_python(_unescape, x, F.contains(x, F.lit("&")))
+
+
+def composed(x: Column) -> Column:
+    """Normal form C, which Spark has no function for. Characters before the combining marks are in it always."""
+    return _in_python(_compose, x, x.rlike(r"[^\x{00}-\x{2ff}]"))
+
+
 def squeezed(x: Column | str) -> Column:
     """Runs of blanks of any kind become one space; none at the ends."""
-    return F.trim(F.regexp_replace(col(x), f"{WS}+", " "))
+    return F.trim(F.regexp_replace(col(x), f"{BLANK}+", " "))
 
 
 def clean_text(x: Column | str) -> Column:
     """References, tags, links and mentions go, hashtags lose their sign, emoji stay. Null gives ''."""
     t = unescaped(F.coalesce(col(x), F.lit("")))
-    for pattern, to in (("<[^>]+>", " "), (URL, " "), (f"@[{W_IN}]+", " "), (f"#([{W_IN}]+)", "$1")):
+    for pattern, to in (("<[^>]+>", " "), (LINK, " "), (f"@[{W_IN}]+", " "), (f"#([{W_IN}]+)", "$1")):
         t = F.regexp_replace(t, pattern, to)
     return squeezed(composed(t))
 
@@ -80,7 +93,7 @@ def preprocess(df: DataFrame, text: str = "post_text", label: str = "ground_trut
 
 def words(x: Column | str) -> Column:
     """What stands between blanks of any kind."""
-    return F.filter(F.split(col(x), f"{WS}+"), lambda w: w != "")
+    return F.regexp_extract_all(col(x), F.lit(f"{NOT_BLANK}+"), F.lit(0))
 
 
 def clip(x: Column | str, limit: int = 4000) -> Column:
@@ -95,13 +108,13 @@ def first_words(x: Column | str, most: int = 8) -> Column:
 
 
 def squeezed_ends(x: Column | str) -> Column:
-    return F.regexp_replace(col(x), f"^{WS}+|{WS}+$", "")
+    return F.regexp_replace(col(x), f"^{BLANK}+|{BLANK}+$", "")
 
 
 def sentences(x: Column | str) -> Column:
     """Parts of a text that end in a sentence sign; the whole where there are fewer than two."""
     t = squeezed_ends(F.coalesce(col(x), F.lit("")))
-    parts = F.filter(F.transform(F.split(t, f"(?<=[.!?।]){WS}+"), squeezed_ends), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(t, f"(?<=[.!?।]){BLANK}+"), squeezed_ends), lambda p: p != "")
     return F.when(F.size(parts) >= 2, parts).otherwise(F.array(t))
 
 
@@ -116,6 +129,6 @@ def metric_text(x: Column | str, places: int = 4) -> Column:
 
 
 def n_links(x: Column | str) -> Column:
-    return F.regexp_count(col(x), F.lit(URL))
+    return F.regexp_count(col(x), F.lit(LINK))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vakya.sources.store import written
+
 
 def first_of(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """One row per key, the first in the order. Partial aggregation before the shuffle, so a key with a third of the rows is no
@@ -56,18 +58,22 @@ def mark_duplicates(df: DataFrame, keys: list[str], order: str, signal: str = "d
     return j.withColumn("signals", F.when(F.col(order) > F.col("_first"), F.array_append("signals", F.lit(signal))).otherwise(F.col("signals"))).select(*df.columns)
 
 
-def ranked(df: DataFrame, order: str, by: list[str], name: str = "rank", bins: int = 4096) -> DataFrame:
-    """Adds the 0-based rank by a whole-number column within each group, ties in any order.
+def in_chunks(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """`df` with `_chunk`: rows in the order within each group, cut where the data are (by sampled ranges), so that a group of any size is
+    spread and values far out don't matter. Equal values stay together. Written, so that the cuts stay as they are."""
+    return written(df.repartitionByRange(*by, *order).withColumn("_chunk", F.spark_partition_id()))
+
+
+def ranked(df: DataFrame, order: str, by: list[str], name: str = "rank") -> DataFrame:
+    """Adds the 0-based rank by a column within each group, ties in any order. Nulls of the order come first.
 
-    Values are cut into bins, which are counted and summed up first, so that no task ranks a whole group. Nulls of the order come first."""
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
-    width = max(1, ((hi or 0) - (lo or 0)) // bins + 1)
-    b = df.withColumn("_bin", F.coalesce(F.floor((F.col(order) - F.lit(lo or 0)) / width), F.lit(-1)))
-    n = b.groupBy(*by, "_bin").agg(F.count("*").alias("_n"))
-    n = n.withColumn("_base", F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    right = n.select(*(F.col(k).alias(f"_{k}") for k in by), F.col("_bin").alias("_b"), "_base")
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by] + [F.col("_bin") == F.col("_b")]
-    inside = F.row_number().over(W.partitionBy(*by, "_bin").orderBy(order)) - 1
+    Chunks are counted and summed up first, so that no task ranks a whole group."""
+    b = in_chunks(df, by, [order])
+    n = b.groupBy(*by, "_chunk").agg(F.count("*").alias("_n"))
+    n = n.withColumn("_base", F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    right = n.select(*(F.col(k).alias(f"_{k}") for k in by), F.col("_chunk").alias("_c"), "_base")
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by] + [F.col("_chunk") == F.col("_c")]
+    inside = F.row_number().over(W.partitionBy(*by, "_chunk").orderBy(order)) - 1
     return b.withColumn("_in", inside).join(right, on).select(*df.columns, (F.col("_base") + F.col("_in")).alias(name))
 
 

@@ -142,6 +142,11 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
 
 
+def languages_of(df: DataFrame, language: str, by: list[str]) -> DataFrame:
+    """(by..., languages): the languages of each group, sorted; null is none."""
+    return df.groupBy(*by).agg(F.sort_array(F.collect_set(language)).alias("languages"))
+
+
 def nearest_rank(df: DataFrame, value: str, order: list[str], by: list[str], last: int = 50) -> DataFrame:
     """(by..., n, p50, p95) of the last values in the order, without interpolation, to one place.
 

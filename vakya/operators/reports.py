@@ -21,6 +21,30 @@ def metric_table(df: DataFrame, model: str, metrics: list[str], models: list[str
     return unpivoted(df, model, metrics).groupBy("metric").pivot("model", models).agg(F.first(metric_text("value")))
 
 
+#: Rows of the two reports: what a row is called, the column it shows, and how.
+SENTIMENT_ROWS = (
+    ("Accuracy", "accuracy", "%.4f"), ("Precision (macro)", "precision_macro", "%.4f"), ("Recall (macro)", "recall_macro", "%.4f"), ("F1 (macro)", "f1_macro", "%.4f"), ("F1 (weighted)", "f1_weighted", "%.4f"),
+    ("ROC-AUC", "roc_auc", "%.4f"), ("Avg confidence", "avg_confidence", "%.4f"), ("Avg inference time (ms/post)", "avg_time_ms", "%.2f"), ("Total inference time (s)", "total_time_s", "%.2f"),
+    ("Model size (MB)", "model_size_mb", "%.1f"), ("GPU peak memory (MB)", "gpu_peak_mb", "%.1f"), ("Binary model (Neutral approximated)", "is_binary", ""),
+)
+TRANSLATION_ROWS = (
+    ("BLEU", "bleu", "%.2f"), ("chrF", "chrf", "%.2f"), ("COMET", "comet", "%.4f"), ("Posts translated", "n_translated", "%.0f"), ("Avg latency (ms/post)", "avg_time_ms", "%.1f"), ("Total time (s)", "total_time_s", "%.1f"),
+    ("Model size (MB)", "model_size_mb", "%.0f"), ("GPU peak (MB)", "gpu_peak_mb", "%.0f"),
+)
+
+
+def formatted_table(df: DataFrame, model: str, rows, models: list[str]) -> DataFrame:
+    """(place, metric, a column per model): each metric of one row per model in its own format; what is missing shows as n/a."""
+    show = lambda c, form: F.initcap(F.col(c).cast("string")) if not form else F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), F.lit("n/a")).otherwise(F.format_string(form, F.col(c).cast("double")))
+    long = df.select(F.col(model).alias("_m"), F.inline(F.array(*(F.struct(F.lit(k).alias("place"), F.lit(name).alias("metric"), show(c, form).alias("_v")) for k, (name, c, form) in enumerate(rows)))))
+    return long.groupBy("place", "metric").pivot("_m", models).agg(F.first("_v"))
+
+
+def memory_bars(df: DataFrame, model: str) -> DataFrame:
+    """(metric, model, value): size and peak memory of each model, as a chart of paired bars wants them; a size not known is 0."""
+    return unpivoted(df.fillna(0.0, ["model_size_mb", "gpu_peak_mb"]), model, ["model_size_mb", "gpu_peak_mb"])
+
+
 def pivoted(df: DataFrame, row: str, column: str, value: str, columns: list[str], fill: float | None = None) -> DataFrame:
     out = df.groupBy(row).pivot(column, columns).agg(F.first(value))
     return out if fill is None else out.fillna(fill, columns)
@@ -47,11 +71,15 @@ def heat_map(cells: DataFrame) -> DataFrame:
     return cells.withColumn("light_text", F.col("n") > 0.55 * F.max("n").over(W.partitionBy()))  # nine cells
 
 
-def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A small table as Markdown; at most `limit` rows, as a report holds."""
-    rows = df.limit(limit).collect()
+def markdown(df: DataFrame, most: int = 100_000) -> str:
+    """A table as Markdown, whole, row by row; ValueError for one too long to be part of a document."""
     line = lambda x: "| " + " | ".join("n/a" if v is None else str(v) for v in x) + " |"
-    return "\n".join([line(df.columns), line("---" for _ in df.columns), *(line(r) for r in rows)])
+    out = [line(df.columns), line("---" for _ in df.columns)]
+    for k, r in enumerate(df.toLocalIterator()):
+        if k >= most:
+            raise ValueError(f"more than {most} rows for one document")
+        out.append(line(r))
+    return "\n".join(out)
 
 
 def summary_markdown(title: str, parts: dict[str, DataFrame]) -> str:

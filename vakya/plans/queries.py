@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vakya.functions import annotate, intel, quality, roman, script, text
-from vakya.functions.lexicons import ACTIONS, CATEGORIES, CUE_LANG, EVIDENCE, FLORES, LABEL_FORMS, LABELS, NEGATION, NEGATIVE, POSITIVE, PRESERVED, SCRIPT_LANG, SOURCE_NEGATION, SOURCE_NEGATIVE, SOURCE_POSITIVE, TELUGU, URDU, URDU_KEPT
+from vakya.functions import annotate, intel, policy, quality, requests, roman, script, text
+from vakya.functions.lexicons import ACTIONS, CATEGORIES, CUE_LANG, EVIDENCE, FLORES, INTENTS, LABEL_FORMS, LABELS, NEGATION, NEGATIVE, POSITIVE, PRESERVED, SCRIPT_LANG, SOURCE_NEGATION, SOURCE_NEGATIVE, SOURCE_POSITIVE, TELUGU, URDU, URDU_KEPT
 from vakya.functions.rx import BLOCK_IN, LATIN_IN, URL, W_IN, WS, WS_IN, forward, media, quoted, spam
 from vakya.operators import dedupe, gatelog, metrics, models, mt_metrics, reports, winners
 from vakya.plans.pipeline import analyze
-from vakya.sources import io
+from vakya.sources import io, store
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -145,12 +146,13 @@ def preserved_sql(c: str) -> str:
     return f"(regexp_matches({c}, '^[A-Z]{{2,6}}$') OR list_contains({sqllist(PRESERVED)}, lower({c})) OR list_contains({sqllist(PRESERVED)}, {once(c)}))"
 
 
-CORES_SQL = f"w AS (SELECT id, x, row_number() OVER () AS r FROM p), k AS (SELECT r, id, unnest({TOKENS_SQL}) AS token FROM w), c AS (SELECT r, id, regexp_extract(token, {CORE_SQL}, 2) AS core FROM k), kept AS (SELECT r, id, core, {once('core')} AS one FROM c WHERE NOT {preserved_sql('core')}), h AS (SELECT r, coalesce({case(CUE_LANG, 'lower(core)')}, {case(CUE_LANG, 'one')}) AS lang FROM kept)"
+CORES_SQL = f"w AS (SELECT id, x, row_number() OVER () AS r FROM p), k AS (SELECT r, id, unnest({TOKENS_SQL}) AS token, unnest(range(1, len({TOKENS_SQL}) + 1)) AS i FROM w), c AS (SELECT r, id, i, regexp_extract(token, {CORE_SQL}, 2) AS core FROM k), kept AS (SELECT r, id, i, core, {once('core')} AS one FROM c WHERE NOT {preserved_sql('core')}), h AS (SELECT r, i, CASE WHEN {case(CUE_LANG, 'lower(core)')} IS NOT NULL THEN lower(core) WHEN {case(CUE_LANG, 'one')} IS NOT NULL THEN one END AS key, coalesce({case(CUE_LANG, 'lower(core)')}, {case(CUE_LANG, 'one')}) AS lang FROM kept)"
 
 
-@query(f"WITH p AS (SELECT id, post_text AS x FROM dataset WHERE post_text IS NOT NULL), {CORES_SQL}, g AS (SELECT r, count(lang) AS n_cues, CASE WHEN count(DISTINCT lang) = 1 THEN min(lang) END AS language FROM h GROUP BY r) SELECT w.id, coalesce(n_cues, 0) AS n_cues, language FROM w LEFT JOIN g USING (r)")
+@query(f"WITH p AS (SELECT id, post_text AS x FROM dataset WHERE post_text IS NOT NULL), {CORES_SQL}, g AS (SELECT r, count(lang) AS n_cues, CASE WHEN count(DISTINCT lang) = 1 THEN min(lang) END AS language, string_agg(key, ' ' ORDER BY i) AS keys FROM h GROUP BY r) SELECT w.id, coalesce(n_cues, 0) AS n_cues, language, coalesce(keys, '') AS keys FROM w LEFT JOIN g USING (r)")
 def cue_hits(s, d):
-    return posts(s, d).select("id", roman.cue_count("x").alias("n_cues"), roman.cue_language("x").alias("language"))
+    hits = posts(s, d).select("id", roman.cue_hits("x").alias("hits"))
+    return hits.select("id", F.size("hits").alias("n_cues"), roman.hits_language("hits").alias("language"), F.array_join(F.transform("hits", lambda h: h["key"]), " ").alias("keys"))
 
 
 @query(f"WITH p AS (SELECT id, post_text AS x FROM dataset WHERE post_text IS NOT NULL), w AS (SELECT id, list_transform({TOKENS_SQL}, lambda q: regexp_extract(q, {CORE_SQL}, 2)) AS c FROM p) SELECT id, array_to_string(list_filter(c, lambda q: length(q) > 1 AND NOT {preserved_sql('q')}), ' ') AS residual FROM w")
@@ -268,7 +270,7 @@ _flags_sql = {
     "low_sentiment_confidence": "coalesce(confidence, 0) < 0.6",
     "code_mixed": f"CASE WHEN {_letters(_p, 65, 591)} + {_indic_letters.replace('(x,', f'({_p},')} = 0 THEN false ELSE least({_letters(_p, 65, 591)}, {_indic_letters.replace('(x,', f'({_p},')}) / ({_letters(_p, 65, 591)} + {_indic_letters.replace('(x,', f'({_p},')}) >= 0.15 END",
     "romanized_indic_transliterated": "coalesce(was_transliterated, false)",
-    "pipeline_fallback": "coalesce(fallback_used, false)",
+    "ollama_pipeline_fallback": "coalesce(fallback_used, false)",
     "translation_truncated": "coalesce(translation_truncated, false)",
     "sentiment_truncated": "coalesce(sentiment_truncated, false)",
     "translation_unavailable": "coalesce(language, '') NOT IN ('en', '') AND NOT coalesce(was_translated, false)",
@@ -285,27 +287,158 @@ def signals(s, d):
     return t(s, d, "pipeline_result").select("result_id", F.array_join(intel.signals(), "|").alias("signals"))
 
 
-@query(f"SELECT result_id, CASE WHEN {stripped(_p)} = '' THEN 'blank' WHEN regexp_matches({stripped(_p)}, {quoted(media)}) THEN 'media' WHEN NOT regexp_matches(regexp_replace({_p}, {quoted(URL)}, ' ', 'g'), '[\\p{{L}}\\p{{N}}]') THEN 'no text' WHEN {stripped("coalesce(english_text, '')")} = '' THEN 'no translation' END AS why, length(CASE WHEN length({_p}) <= 200 THEN {_p} ELSE left({_p}, 140) || chr(10) || '...[truncated]...' || chr(10) || right({_p}, 60) END) AS clipped FROM pipeline_result")
+@query(f"SELECT result_id, CASE WHEN {stripped(_p)} = '' THEN 'blank' WHEN regexp_matches({stripped(_p)}, {quoted(media)}) THEN 'media' WHEN NOT regexp_matches(regexp_replace({_p}, {quoted(URL)}, ' ', 'g'), '[\\p{{L}}\\p{{N}}]') THEN 'no text' WHEN {stripped("coalesce(english_text, '')")} = '' THEN 'no translation' END AS why, CASE WHEN length({_p}) <= 200 THEN {_p} ELSE left({_p}, 140) || chr(10) || '...[truncated]...' || chr(10) || right({_p}, 60) END AS clipped FROM pipeline_result")
 def contentless(s, d):
-    return t(s, d, "pipeline_result").select("result_id", intel.contentless().alias("why"), F.length(text.clip(F.coalesce("post_text", F.lit("")), 200)).alias("clipped"))
+    return t(s, d, "pipeline_result").select("result_id", intel.contentless().alias("why"), text.clip(F.coalesce("post_text", F.lit("")), 200).alias("clipped"))
 
 
-@query("SELECT intel_id, coalesce(" + case({x.lower(): x for x in CATEGORIES}, "lower(trim(category))") + ", 'Unknown') AS category, coalesce(" + case({x.lower(): x for x in ACTIONS}, "lower(trim(recommended_action))") + ", 'Human Review') AS action, coalesce(" + case({x.lower(): x for x in EVIDENCE}, "lower(trim(evidence_confidence))") + ", 'low') AS evidence, greatest(0, least(100, coalesce(risk_score, 0) * 3 - 40)) AS risk, array_to_string(list_slice(" + split_words("coalesce(summary, '')") + ", 1, 8), ' ') AS short FROM intelligence_result")
+@query("SELECT intel_id, coalesce(" + case({x.lower(): x for x in CATEGORIES}, "lower(trim(category))") + ", 'Unknown') AS category, coalesce(" + case({x.lower(): x for x in ACTIONS}, "lower(trim(recommended_action))") + ", 'Human Review') AS action, coalesce(" + case({x.lower(): x for x in EVIDENCE}, "lower(trim(evidence_confidence))") + ", 'low') AS evidence, greatest(0, least(100, coalesce(risk_score, 0) * 3 - 40)) AS risk, CASE WHEN len(" + split_words("coalesce(summary, '')") + ") > 8 THEN array_to_string(list_slice(" + split_words("coalesce(summary, '')") + ", 1, 8), ' ') ELSE " + stripped("coalesce(summary, '')") + " END AS short FROM intelligence_result")
 def llm_reply_clamp(s, d):
     r = t(s, d, "intelligence_result")
     risk = intel.risk((F.col("risk_score") * 3 - 40).cast("string"))
-    return r.select("intel_id", intel.pick("category", CATEGORIES, "Unknown").alias("category"), intel.pick("recommended_action", ACTIONS, "Human Review").alias("action"), intel.pick("evidence_confidence", EVIDENCE, "low").alias("evidence"), risk.alias("risk"), F.array_join(F.slice(text.words(F.coalesce("summary", F.lit(""))), 1, 8), " ").alias("short"))
+    return r.select("intel_id", intel.pick("category", CATEGORIES, "Unknown").alias("category"), intel.pick("recommended_action", ACTIONS, "Human Review").alias("action"), intel.pick("evidence_confidence", EVIDENCE, "low").alias("evidence"), risk.alias("risk"), text.first_words(F.coalesce("summary", F.lit(""))).alias("short"))
 
 
 _js = lambda x: f"coalesce('\"' || replace(replace({x}, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"') || '\"', 'null')"
 
 
-@query(f"WITH c AS (SELECT category_id, '{{\"definition\":' || {_js('definition')} || ',\"id\":' || {_js('category_id')} || ',\"keywords\":[' || array_to_string(list_transform(keywords, lambda k: {_js('k')}), ',') || '],\"severity\":' || {_js('severity')} || '}}' AS j FROM policy_category), o AS (SELECT string_agg(j, ',' ORDER BY category_id) AS js FROM c) SELECT 'sha256:' || sha256('{{\"categories\":[' || js || '],\"intent_mode\":\"enum\",\"unknown_label\":\"Unknown\"}}') AS fingerprint FROM o")
+@query(f"WITH c AS (SELECT row_number() OVER () AS r, '{{\"definition\":' || {_js("coalesce(definition, '')")} || ',\"id\":' || {_js('category_id')} || ',\"keywords\":[' || array_to_string(list_transform(keywords, lambda k: {_js('k')}), ',') || '],\"severity\":' || {_js("coalesce(severity, '')")} || '}}' AS j FROM policy_category), o AS (SELECT string_agg(j, ',' ORDER BY r) AS js FROM c) SELECT 'sha256:' || sha256('{{\"categories\":[' || js || '],\"intent_mode\":\"enum\",\"unknown_label\":\"Unknown\"}}') AS fingerprint FROM o")
 def policy_fingerprint(s, d):
-    j = intel.json_string
-    one = F.concat(F.lit('{"definition":'), j("definition"), F.lit(',"id":'), j("category_id"), F.lit(',"keywords":['), F.array_join(F.transform("keywords", j), ","), F.lit('],"severity":'), j("severity"), F.lit("}"))
-    a = t(s, d, "policy_category").select("category_id", one.alias("j")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("category_id", "j"))), lambda x: x["j"]), ",").alias("js"))
-    return a.select(F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit('{"categories":['), "js", F.lit('],"intent_mode":"enum","unknown_label":"Unknown"}')), 256)).alias("fingerprint"))
+    rows = t(s, d, "policy_category").toLocalIterator()  # a pack, in the order of its table
+    pack = policy.parse_pack({"categories": [{"id": r["category_id"], "definition": r["definition"], "severity": r["severity"], "keywords": r["keywords"]} for r in rows]})
+    return s.createDataFrame([(pack.fingerprint(),)], "fingerprint string")
+
+
+_why_sql = f"CASE WHEN {stripped(_p)} = '' THEN 'blank' WHEN regexp_matches({stripped(_p)}, {quoted(media)}) THEN 'media' WHEN NOT regexp_matches(regexp_replace({_p}, {quoted(URL)}, ' ', 'g'), '[\\p{{L}}\\p{{N}}]') THEN 'no text' WHEN {stripped("coalesce(english_text, '')")} = '' THEN 'no translation' END"
+_say_sql = lambda why, i: case({"blank": ("The post is empty or contains only whitespace; there is no content to assess.", "Ignore")[i], "media": ("The post is a media placeholder with no accompanying text. The attached media itself was not available for assessment.", "Human Review")[i], "no text": ("The post contains no textual content once links are removed (emoji, punctuation or URL only), so intent, category and contextual risk cannot be assessed from text.", "Ignore")[i], "no translation": ("The pipeline produced no English text for this post, so no assessment can be made from the translation.", "Human Review")[i]}, why)
+#: Results, some without content: by result_id a text is left out, or a placeholder, a link or nothing translated.
+_bare_sql = "bare AS (SELECT * REPLACE (CASE result_id % 11 WHEN 1 THEN '  ' WHEN 2 THEN '[photo omitted]' WHEN 3 THEN 'https://a.in/x !!' ELSE post_text END AS post_text, CASE WHEN result_id % 11 = 4 THEN ' ' ELSE english_text END AS english_text) FROM pipeline_result)"
+
+
+def _bare(s, d):
+    k = F.col("result_id") % 11
+    r = t(s, d, "pipeline_result")
+    return r.withColumn("post_text", F.when(k == 1, "  ").when(k == 2, "[photo omitted]").when(k == 3, "https://a.in/x !!").otherwise(F.col("post_text"))).withColumn("english_text", F.when(k == 4, " ").otherwise(F.col("english_text")))
+
+
+_default_print = "'sha256:88b29680510e42c9bacb6d6c9c6799c7be0f693bfe2716461227476faaf6fd4b'"
+
+
+@query(f"WITH {_bare_sql}, w AS (SELECT result_id, {_why_sql} AS why FROM bare) SELECT result_id, 'Unknown' AS category, 'Unknown' AS intent, 'Unknown' AS intent_label, 0 AS risk_score, {_say_sql('why', 0)} AS reasoning, 'No intelligence assessment could be produced for this post.' AS summary, {_say_sql('why', 1)} AS recommended_action, 'low' AS evidence_confidence, 'triage' AS source, {_default_print} AS policy_pack_fingerprint, 0 AS n_keywords FROM w WHERE why IS NOT NULL")
+def triage_records(s, d):
+    r = _bare(s, d).withColumn("record", intel.triage(intel.signals())).where("record is not null")
+    return r.select("result_id", *(f"record.{c}" for c in ("category", "intent", "intent_label", "risk_score", "reasoning", "summary", "recommended_action", "evidence_confidence", "source", "policy_pack_fingerprint")), F.size("record.keyword_context").alias("n_keywords"))
+
+
+_json = lambda pairs: "'{' || " + " || ',' || ".join(f"'\"{k}\": ' || {v}" for k, v in pairs.items()) + " || '}'"
+_reply_parts = {
+    "category": "'\"' || upper(coalesce(trim(category), 'x')) || '\"'",
+    "intent": "'\"' || coalesce(intent, 'Nonsense') || '\"'",
+    "risk_score": "CASE intel_id % 4 WHEN 0 THEN '72.5' WHEN 1 THEN '\"abc\"' WHEN 2 THEN '-3' ELSE '250' END",
+    "reasoning": "CASE WHEN intel_id % 3 = 0 THEN '\" \"' ELSE '\"because\"' END",
+    "summary": "CASE WHEN intel_id % 7 = 0 THEN '\"\"' ELSE '\"short\"' END",
+    "recommended_action": "'\"' || coalesce(lower(recommended_action), 'none') || '\"'",
+    "evidence_confidence": "'\"' || coalesce(evidence_confidence, 'sure') || '\"'",
+    "keyword_context": "CASE WHEN intel_id % 2 = 0 THEN '[{\"keyword\": \"road\", \"matched\": true, \"contextually_relevant\": false, \"usage\": \"u\", \"reason\": \"r\"}]' ELSE '\"road\"' END",
+}
+#: A reply bare, fenced, in prose, as a list, or cut off, by id.
+_reply_expr = f"CASE intel_id % 5 WHEN 0 THEN {_json(_reply_parts)} WHEN 1 THEN '```json' || chr(10) || {_json(_reply_parts)} || chr(10) || '```' WHEN 2 THEN 'Here it is: ' || {_json(_reply_parts)} || ' done' WHEN 3 THEN '[1, 2]' ELSE '{{\"category\": ' END"
+_i_known = "coalesce(" + case({x.lower(): x for x in INTENTS}, "lower(trim(coalesce(intent, '')))") + ", 'Unknown')"
+
+
+@query(
+    "SELECT intel_id, CASE WHEN intel_id % 5 >= 3 THEN 'error' ELSE 'provider' END AS source, CASE WHEN intel_id % 5 >= 3 THEN 'Unknown' ELSE coalesce(" + case({x.lower(): x for x in CATEGORIES}, "lower(trim(category))") + f", 'Unknown') END AS category, CASE WHEN intel_id % 5 >= 3 THEN 'Unknown' ELSE {_i_known} END AS intent, "
+    "CASE WHEN intel_id % 5 >= 3 THEN 0 ELSE CASE intel_id % 4 WHEN 0 THEN 72 WHEN 3 THEN 100 ELSE 0 END END AS risk_score, CASE WHEN intel_id % 5 >= 3 THEN 'The intelligence provider could not be reached or returned an unusable response (' || CASE WHEN intel_id % 10 = 3 THEN 'TimeoutError' ELSE 'ValueError' END || '). The deterministic sentiment result is unaffected and remains valid.' WHEN intel_id % 3 = 0 THEN 'The model returned no reasoning for this assessment.' ELSE 'because' END AS reasoning, "
+    "CASE WHEN intel_id % 5 >= 3 THEN 'No intelligence assessment could be produced for this post.' WHEN intel_id % 7 = 0 THEN 'No summary was produced for this post.' ELSE 'short' END AS summary, "
+    "CASE WHEN intel_id % 5 >= 3 OR intel_id % 3 = 0 THEN 'Human Review' ELSE coalesce(" + case({x.lower(): x for x in ACTIONS}, "lower(recommended_action)") + ", 'Human Review') END AS recommended_action, CASE WHEN intel_id % 5 >= 3 THEN 'low' ELSE coalesce(" + case({x: x for x in EVIDENCE}, "lower(trim(evidence_confidence))") + ", 'low') END AS evidence_confidence, "
+    "CASE WHEN intel_id % 5 < 3 AND intel_id % 2 = 0 THEN 1 ELSE 0 END AS n_keywords, round(latency_ms, 1) AS latency_ms, 'm' AS model FROM intelligence_result WHERE latency_ms IS NOT NULL"
+)
+def intelligence_records(s, d):
+    """Assessments from canned replies of every kind, and from failures."""
+    r = t(s, d, "intelligence_result").where("latency_ms is not null").withColumn("reply", F.expr(_reply_expr.replace("chr(10)", "'\n'")))
+    r = r.withColumn("failure", F.when(F.col("intel_id") % 10 == 3, "TimeoutError")).withColumns({"post_text": F.lit("a post"), "english_text": F.lit("a post")})
+    rec = r.select("intel_id", intel.assessment("reply", "failure", "latency_ms", F.lit("m")).alias("r"))
+    return rec.select("intel_id", *(f"r.{c}" for c in ("source", "category", "intent", "risk_score", "reasoning", "summary", "recommended_action", "evidence_confidence")), F.size("r.keyword_context").alias("n_keywords"), "r.latency_ms", "r.model")
+
+
+@query("SELECT count(*) AS n_posts, count(*) FILTER (NOT coalesce(list_contains(signals, 'duplicate_post'), false)) AS n_analyzed, count(*) FILTER (list_contains(signals, 'duplicate_post')) AS n_reused, count(*) FILTER (source = 'triage') AS n_triage, count(*) FILTER (source = 'error') AS n_errors FROM intelligence_result")
+def outcome_counts(s, d):
+    return intel.outcome_counts(t(s, d, "intelligence_result").withColumn("signals", F.coalesce("signals", F.array().cast("array<string>"))))
+
+
+@query("SELECT result_id, left(original, 50) AS head, language, was_translated, backend, n_signals FROM (SELECT result_id, coalesce(post_text, '') AS original, language, coalesce(was_translated, false) AS was_translated, coalesce(nullif(translation_backend, ''), 'unknown') AS backend, len(list_filter([" + ", ".join(f"{c}" for c in _flags_sql.values()) + "], lambda q: q)) AS n_signals FROM pipeline_result)")
+def model_payload(s, d):
+    p = t(s, d, "pipeline_result").withColumn("signals", intel.signals()).select("result_id", intel.payload().alias("j"))
+    got = F.from_json("j", "original_text string, language string, was_translated boolean, translation_backend string, signals array<string>")
+    return p.select("result_id", got.alias("v")).select("result_id", F.left("v.original_text", F.lit(50)).alias("head"), "v.language", "v.was_translated", F.col("v.translation_backend").alias("backend"), F.size("v.signals").alias("n_signals"))
+
+
+_bad_reply = "CASE failure_id % 4 WHEN 0 THEN '{\"english_text\": \" It is said here \", \"sentiment\": \"Neutral\", \"confidence\": 0.75}' WHEN 1 THEN '{\"english_text\": \"x\", \"sentiment\": \"Mixed\", \"confidence\": 0.75}' WHEN 2 THEN '{\"english_text\": \"x\", \"sentiment\": \"Neutral\"}' ELSE 'no' END"
+
+
+@query("WITH f AS (SELECT failure_id, CASE failure_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'sentiment' WHEN 2 THEN 'keys' ELSE 'no object' END AS failure, round(translation_time_ms + 100, 3) AS total_time_ms, reason FROM pipeline_failure WHERE language = 'en') SELECT failure_id, failure, CASE WHEN failure IS NULL THEN 'It is said here' END AS english_text, CASE WHEN failure IS NULL THEN 'Neutral' END AS sentiment, CASE WHEN failure IS NULL THEN 0.75 END AS confidence, false AS was_translated, total_time_ms, 'ollama_fallback' AS translation_backend, reason AS fallback_reason, true AS review_recommended FROM f")
+def fallback_records(s, d):
+    f = t(s, d, "pipeline_failure").where("language = 'en'").withColumn("reply", F.expr(_bad_reply)).withColumn("fallback_ms", F.lit(100.0))
+    return intel.resolved_failures(f).select("failure_id", "failure", "english_text", "sentiment", "confidence", "was_translated", "total_time_ms", "translation_backend", "fallback_reason", "review_recommended")
+
+
+@query(f"WITH p AS (SELECT result_id AS id, english_text AS x FROM pipeline_result WHERE english_text IS NOT NULL), {CORES_SQL}, g AS (SELECT r, CASE WHEN count(DISTINCT lang) = 1 THEN min(lang) END AS cue FROM h GROUP BY r), s AS (SELECT r, id, x, {COUNTS_SQL} AS c FROM w), u AS (SELECT r, id, {UNIQUE_SQL} AS top, {SCRIPT_SQL} AS script, c FROM s) SELECT id AS result_id, coalesce(script = 'latin' AND NOT (top[1] < 0 AND -top[1] / {TOTAL_SQL} >= 0.15), false) AND coalesce(cue = 'en', true) AS english FROM u LEFT JOIN g USING (r)")
+def english_check(s, d):
+    return t(s, d, "pipeline_result").where("english_text is not null").select("result_id", models.verified_english("english_text").alias("english"))
+
+
+@query("WITH r AS (SELECT result_id, translation_time_ms, CASE result_id % 5 WHEN 0 THEN 'Mixed' ELSE sentiment END AS sentiment, post_text, language, was_transliterated, total_time_ms, english_text, confidence, sentiment_time_ms FROM pipeline_result), v AS (SELECT *, coalesce(trim(english_text) <> '' AND sentiment IN ('Negative', 'Neutral', 'Positive') AND confidence BETWEEN 0 AND 1 AND translation_time_ms >= 0 AND sentiment_time_ms >= 0 AND total_time_ms >= 0 AND abs(total_time_ms - (translation_time_ms + sentiment_time_ms)) <= 0.01, false) AS ok FROM r) SELECT result_id, coalesce(language, 'unknown') AS language, coalesce(was_transliterated, false) AS was_transliterated, greatest(0, coalesce(total_time_ms, 0)) AS deterministic_time_ms, 'InvalidPipelineResult' AS reason, greatest(0, coalesce(translation_time_ms, 0)) AS translation_time_ms FROM v WHERE NOT ok")
+def failure_records(s, d):
+    r = t(s, d, "pipeline_result").withColumn("sentiment", F.when(F.col("result_id") % 5 == 0, "Mixed").otherwise(F.col("sentiment")))
+    return r.select("result_id", annotate.failure_record().alias("f")).where("f is not null").select("result_id", "f.language", "f.was_transliterated", "f.deterministic_time_ms", "f.reason", "f.translation_time_ms")
+
+
+@query("SELECT r.result_id, CASE WHEN r.result_id % 3 = 0 THEN c.keywords END AS keywords FROM (SELECT DISTINCT result_id FROM pipeline_result) r LEFT JOIN (SELECT row_number() OVER (ORDER BY category_id) - 1 AS k, array_to_string(keywords, '|') AS keywords FROM policy_category) c ON c.k = r.result_id % 13")
+def keyword_places(s, d):
+    posts_ = t(s, d, "pipeline_result").select("result_id").distinct().withColumn("request", F.col("result_id") % 3).withColumn("pos", F.col("result_id") % 13)
+    c = t(s, d, "policy_category").select(F.lit(0).cast("bigint").alias("request"), (F.row_number().over(Window.orderBy("category_id")) - 1).cast("bigint").alias("pos"), "keywords")  # thirteen rows
+    return intel.keywords_by_place(posts_, c, "request").select("result_id", F.array_join("matched_keywords", "|").alias("keywords"))
+
+
+@query("WITH r AS (SELECT DISTINCT result_id, language, total_time_ms FROM pipeline_result), b AS (SELECT *, (row_number() OVER (PARTITION BY language ORDER BY result_id) - 1) // 8 AS batch FROM r) SELECT result_id, round(sum(total_time_ms) OVER (PARTITION BY language, batch) / count(*) OVER (PARTITION BY language, batch), 7) AS time_ms FROM b")
+def amortised_times(s, d):
+    b = dedupe.batches(t(s, d, "pipeline_result").select("result_id", "language", "total_time_ms").distinct(), "result_id", 8, ["language"])
+    ms = b.withColumn("ms", F.sum("total_time_ms").over(Window.partitionBy("language", "batch")))
+    return models.amortised(ms, ["language", "batch"], "ms").select("result_id", F.round("time_ms", 7).alias("time_ms"))
+
+
+@query("SELECT translation_backend AS model, array_to_string(list_sort(list(DISTINCT language)), ',') AS languages FROM pipeline_result GROUP BY translation_backend")
+def batch_languages(s, d):
+    return metrics.languages_of(t(s, d, "pipeline_result"), "language", ["translation_backend"]).select(F.col("translation_backend").alias("model"), F.array_join("languages", ",").alias("languages"))
+
+
+@query("WITH e AS (SELECT vec_id, unnest(['a', 'b', 'c', 'd', 'e']) AS label, unnest(embedding[1:5]) AS score FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS k FROM e) SELECT vec_id, string_agg(label, '' ORDER BY k) AS best FROM r WHERE k <= 3 GROUP BY vec_id")
+def best_labels(s, d):
+    pairs = F.arrays_zip(F.array(*map(F.lit, "abcde")).alias("label"), F.slice("embedding", 1, 5).alias("score"))
+    e = t(s, d, "embeddings").select("vec_id", F.transform(pairs, lambda p: F.struct(p["label"].alias("label"), p["score"].alias("score"))).alias("s"))
+    return e.select("vec_id", F.array_join(F.transform(annotate.top_labels("s"), lambda r: r["label"]), "").alias("best"))
+
+
+@query(f"SELECT doc_id, coalesce(len({split_words('text')}) + 2 > 128, false) AS sentiment_truncated FROM documents")
+def sentiment_cut(s, d):
+    return t(s, d, "documents").select("doc_id", annotate.sentiment_truncated(F.size(text.words("text")) + 2).alias("sentiment_truncated"))
+
+
+_limits = (20, 600, 4000)
+
+
+@query(f"WITH n AS (SELECT author_id, id, coalesce(length(post_text), 0) AS n FROM dataset), a AS (SELECT author_id, count(*) AS n_texts, sum(n) AS n_chars, max(n) AS longest, min(CASE WHEN n > {_limits[1]} THEN id END) AS pos FROM n GROUP BY author_id), l AS (SELECT a.*, (SELECT min(n.n) FROM n WHERE n.author_id = a.author_id AND n.id = a.pos AND n.n > {_limits[1]}) AS size FROM a) SELECT author_id, n_texts, n_chars, longest, CASE WHEN n_texts > {_limits[0]} OR pos IS NOT NULL OR n_chars > {_limits[2]} THEN 413 END AS code, CASE WHEN n_texts > {_limits[0]} THEN printf('Too many texts: %d (limit {_limits[0]}). Split the batch across several requests.', n_texts) WHEN pos IS NOT NULL THEN printf('texts[%d] is %d characters (limit {_limits[1]}).', pos, size) WHEN n_chars > {_limits[2]} THEN printf('Request totals %d characters (limit {_limits[2]}).', n_chars::BIGINT) END AS detail FROM l WHERE author_id IS NOT NULL")
+def request_errors(s, d):
+    e = requests.size_errors(t(s, d, "dataset").where("author_id is not null"), "author_id", "id", "post_text", *_limits)
+    return e.select("author_id", "n_texts", "n_chars", "longest", "error.code", "error.detail")
+
+
+@query("WITH k AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'GateFull' WHEN 1 THEN 'CircuitOpen' WHEN 2 THEN 'Invalid' WHEN 3 THEN 'Timeout' END AS kind, value * 700 AS wait FROM events) SELECT event_id, CASE kind WHEN 'GateFull' THEN 429 WHEN 'CircuitOpen' THEN 503 WHEN 'Invalid' THEN 422 WHEN 'Timeout' THEN 503 END AS code, CASE WHEN kind IN ('GateFull', 'CircuitOpen') THEN floor(wait)::INT END AS retry_after, round(greatest(5, least(600, wait)), 6) AS timeout_s FROM k")
+def request_answers(s, d):
+    k = F.col("event_id") % 5
+    e = t(s, d, "events").withColumn("kind", F.when(k == 0, "GateFull").when(k == 1, "CircuitOpen").when(k == 2, "Invalid").when(k == 3, "Timeout")).withColumn("wait", F.col("value") * 700)
+    e = e.withColumn("error", requests.error("kind", F.lit(""), F.col("wait")))
+    return e.select("event_id", "error.code", "error.retry_after", F.round(requests.waiting_time("wait"), 6).alias("timeout_s"))
 
 
 # --- joins and duplicates ---------------------------------------------------------------------------------------------------------
@@ -339,7 +472,7 @@ def cache_misses(s, d):
 def category_lookup(s, d):
     c = t(s, d, "policy_category").select("category_id", "severity")
     i = t(s, d, "intelligence_result").select("intel_id", "category")
-    return i.join(F.broadcast(c.limit(128)), i["category"] == c["category_id"], "left").select("intel_id", "severity", F.col("category_id").isNotNull().alias("in_pack"))
+    return i.join(c, i["category"] == c["category_id"], "left").select("intel_id", "severity", F.col("category_id").isNotNull().alias("in_pack"))
 
 
 @query("SELECT count(*) AS n_texts, max(length(post_text)) AS longest, sum(length(post_text)) AS n_chars, min(CASE WHEN length(post_text) > 700 THEN id END) AS first_too_long FROM dataset")
@@ -526,10 +659,28 @@ def metrics_unpivot(s, d):
     return rounded(reports.unpivoted(_models(s, d), "model", ["accuracy", "f1_macro", "f1_weighted"]), "value")
 
 
-@query(_models_sql + ", un AS (SELECT model, unnest(['accuracy', 'f1_macro']) AS metric, unnest([accuracy, f1_macro]) AS value FROM mo) SELECT metric, " + ", ".join(f"max(CASE WHEN model = '{m}' THEN printf('%.3f', value) END) AS {m}" for m in ("indictrans2", "nllb")) + " FROM un GROUP BY metric")
+@query(_models_sql + ", un AS (SELECT model, unnest(['accuracy', 'f1_macro']) AS metric, unnest([accuracy, f1_macro]) AS value FROM mo) SELECT metric, " + ", ".join(f"max(CASE WHEN model = '{m}' THEN printf('%.4f', value) END) AS {m}" for m in ("indictrans2", "nllb")) + " FROM un GROUP BY metric")
 def metric_table(s, d):
-    df = reports.unpivoted(_models(s, d), "model", ["accuracy", "f1_macro"])
-    return df.groupBy("metric").pivot("model", ["indictrans2", "nllb"]).agg(F.first(text.metric_text("value", 3)))
+    return reports.metric_table(_models(s, d), "model", ["accuracy", "f1_macro"], ["indictrans2", "nllb"])
+
+
+#: What a model weighs can't be known from the tables; its name's length stands for it.
+def _weighed(s, d):
+    none = F.lit(None).cast("double")
+    return _models(s, d).withColumns({"roc_auc": none, "total_time_s": F.col("avg_time_ms") * F.col("n") / 1000, "model_size_mb": F.length("model") * 1.25, "gpu_peak_mb": none, "is_binary": F.col("model") == "nllb"})
+
+
+_rows_sql = "unnest(['Accuracy', 'Precision (macro)', 'Recall (macro)', 'F1 (macro)', 'F1 (weighted)', 'ROC-AUC', 'Avg confidence', 'Avg inference time (ms/post)', 'Total inference time (s)', 'Model size (MB)', 'GPU peak memory (MB)', 'Binary model (Neutral approximated)']) AS metric, unnest([printf('%.4f', accuracy), printf('%.4f', precision_macro), printf('%.4f', recall_macro), printf('%.4f', f1_macro), printf('%.4f', f1_weighted), 'n/a', printf('%.4f', avg_confidence), printf('%.2f', avg_time_ms), printf('%.2f', avg_time_ms * n / 1000), printf('%.1f', length(model) * 1.25), 'n/a', CASE WHEN model = 'nllb' THEN 'True' ELSE 'False' END]) AS v, unnest(range(12)) AS place"
+
+
+@query(_models_sql + f", lo AS (SELECT model, {_rows_sql} FROM mo) SELECT place, metric, max(v) FILTER (model = 'indictrans2') AS indictrans2, max(v) FILTER (model = 'nllb') AS nllb FROM lo GROUP BY place, metric")
+def comparison_table(s, d):
+    return reports.formatted_table(_weighed(s, d), "model", reports.SENTIMENT_ROWS, ["indictrans2", "nllb"])
+
+
+@query(_models_sql + " SELECT unnest(['model_size_mb', 'gpu_peak_mb']) AS metric, model, unnest([length(model) * 1.25, 0]) AS value FROM mo")
+def memory_bars(s, d):
+    return reports.memory_bars(_weighed(s, d), "model")
 
 
 _lang_model = ev("language, model,") + ", lm AS (SELECT language, model, fm AS f1_macro FROM av WHERE language IS NOT NULL)"
@@ -575,7 +726,7 @@ def failure_runs(s, d):
 
 @query("WITH e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS a, epoch_us(ts) / 1e6 + value * 600 + 1 AS b FROM events) SELECT x.event_id, count(y.event_id) AS open_calls FROM e x LEFT JOIN e y ON y.user_id = x.user_id AND y.a < x.a AND y.b > x.a GROUP BY x.event_id")
 def gate_admission_bound(s, d):
-    e = t(s, d, "events").select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("a")).join(t(s, d, "events").select("event_id", "value"), "event_id")
+    e = t(s, d, "events").select("event_id", "user_id", "value", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("a"))
     e = e.withColumn("b", F.col("a") + F.col("value") * 600 + 1)
     return gatelog.overlap_bound(e, ["user_id"], "a", "b").select("event_id", "open_calls")
 
@@ -625,13 +776,10 @@ def translation_cascade(s, d):
 def stream_analyze(s, d):
     """The posts analysed as a stream, worked off and read back."""
     import os
-    import tempfile
-    import uuid
 
     from vakya.streaming.analyze import analyzed_stream, run_available
 
-    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vakya-")
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = store.new_folder(s)
     src = t(s, d, "dataset").select("id", "post_text")
     path = f"{d}/dataset.parquet"
     pattern = path if os.path.isdir(path) else f"{d}/dataset*.parquet"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vakya.functions.text import require_columns
@@ -49,5 +50,10 @@ def from_requests(requests: DataFrame) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """n rows, the same for a seed however the data are laid out; all if there are no more. A top-n, so no full sort."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """n rows, the same for a seed however the data are laid out; all if there are no more. A histogram of the random keys' prefixes finds
+    where the sample ends; only the rows of that prefix are ranked, so a sample of any size stays where its rows are."""
+    d = df.withColumn("_k", F.xxhash64(key, F.lit(seed))).withColumn("_p", F.shiftrightunsigned("_k", 50))
+    steps = d.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # 16,384 prefixes
+    met = d.join(F.broadcast(steps.where(F.col("_before") < n)), "_p")
+    edge = met.where(F.col("_before") + F.col("_n") > n).withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy("_k", key))).where(F.col("_r") <= n - F.col("_before"))
+    return met.where(F.col("_before") + F.col("_n") <= n).select(*df.columns).unionByName(edge.select(*df.columns))
