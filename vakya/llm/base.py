@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
 import sys
-import tempfile
 import unicodedata
-import uuid
-import weakref
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,62 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vakya.sources.store import release, shared_dir, written  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it. Where it names none, a folder of our own serves on one machine only;
-    on several, executors would write to their own disks, so there it's an error."""
-    own = spark.conf.get("spark.checkpoint.dir", None)
-    if not own and (set_ := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
-        own = set_.get()
-    if not own:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        own = tempfile.mkdtemp(prefix="vakya-")
-        spark.conf.set("spark.checkpoint.dir", own)
-        atexit.register(shutil.rmtree, own, True)
-    return own
-
-
-_swept: set[str] = set()
-_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _sweep(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
-        return  # the session is gone; the folder bears the application's id
-    _delete(spark, path)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a table in the shared folder: it's computed once and survives the loss of executors. Removed when the driver ends, or by `release`."""
-    spark = df.sparkSession
-    home = f"{shared_dir(spark)}/vakya-{spark.sparkContext.applicationId}"
-    if home not in _swept:
-        _swept.add(home)
-        atexit.register(_sweep, spark, home)
-    path = f"{home}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _paths[out] = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Remove written tables that nothing still to be computed reads: what was made of them is written itself."""
-    for df in tables:
-        _delete(df.sparkSession, _paths.pop(df))
-
-
 class Sieve:
     """A set of whole numbers as bits, some others passing with them: it lets rows go on to a join that could meet, and loses none.
 
