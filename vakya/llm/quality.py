@@ -1,8 +1,9 @@
 """Problem 10: per-document statistics that tell prose from lists, tables and junk.
 
 Each line is read as prose, list item, table row or junk; a document is what more than half of it is, in the mean of its share of
-lines and of characters. Repetition statistics (duplicate lines and paragraphs, characters in repeated n-grams) and others that
-need the whole text (mis-decoded characters, scattered letters, mere tags) decide on junk first. All of the text is read.
+lines and of characters. Repetition statistics (duplicate lines and paragraphs, the characters that the commonest pair of words and
+repeated n-grams take up) and others that need the whole text (mis-decoded characters, scattered letters, mere tags) decide on
+junk first, so boilerplate pasted over and over is told from prose. All of the text is read.
 
 A null text gives null statistics and kind null, a blank one zeros and kind 'empty'; one row per doc_id (rows repeated under one id
 count once, the least text should they differ).
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from vakya.llm.base import Runs, table, word_pattern
 
-# Common function words of the corpus' languages.
+# Common function words of the corpus' languages.
 COMMON = set(
     """the of and to in is was on for that it with as at by be this are from or an not has have but they we you he she
     में से की के का है पर और को ने यह था नहीं मध्ये आहे आणि हे ला चा होते
@@ -161,6 +162,9 @@ def statistics(text: str) -> tuple:
         or (n >= 12 and again > 0.8 and different < 0.25)
         or (n >= 6 and (different if n <= WINDOW else windowed(words)) < 0.12)
         or (len(lines) >= 6 and dup_lines > 0.6)
+        or (len(paras) >= 4 and dup_paras > 0.6)
+        or (n >= 12 and top > 0.5)
+        or (n >= 60 and again > 0.5 and dup_lines + dup_paras > 0.8)
         or menu
         or share["junk"] > 0.5
         or not words
