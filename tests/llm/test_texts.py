@@ -185,7 +185,7 @@ def test_machine_learns_interactions():
     noisy = [(t, i % 21 == 0) for i, t in enumerate(good)] + [(t, i // 2 % 2 == 0) for i, t in enumerate(bad)]
     # `least` counts different texts, so each gets a word of its own.
     m = abuse.fit([(f"{t} n{i}x", y) for i, (t, y) in enumerate(noisy)])
-    assert min(map(m.text, bad)) > abuse.THRESHOLD > max(map(m.text, good))
+    assert min(map(m.text, bad)) > m.threshold > max(map(m.text, good))
     assert m.text("") == 0.0
 
 

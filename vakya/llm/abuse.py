@@ -98,6 +98,7 @@ class Machine:
 
     def __init__(self, w0: float, at: dict[int, int], w: np.ndarray, v: np.ndarray) -> None:
         self.w0, self.at, self.w, self.v, self.known = w0, at, w, v, {}
+        self.threshold, self.recall, self.alarm = 0.5, RECALL, ALARM
 
     def __getstate__(self):
         return self.__dict__ | {"known": {}}
@@ -145,25 +146,65 @@ class Machine:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.w0 + float(top)))))
 
 
-#: Of abusive texts, how many the judgement calls so, and of others; where fitting starts from.
+#: Where the estimate of the judgement's noise starts: of abusive texts, how many it calls so, and of others.
 RECALL, ALARM = 0.55, 0.02
 
 
-def fit(texts: list[tuple[str, bool]], least: int = 4, factors: int = 4, epochs: int = 30, rate: float = 0.3, rounds: int = 3, seed: int = 1) -> Machine:
+def noise(score: np.ndarray, judged: np.ndarray) -> tuple[float, float]:
+    """How often the judgement calls abusive texts so, and others, by scores that it had no part in. The lower half of the texts is hardly
+    ever abusive, what a machine is sure of nearly always is; a few texts at the rates assumed at first keep small samples sane."""
+    clean, sure = score <= np.median(score), score >= 0.9
+    alarm = float((judged[clean].sum() + 50 * ALARM) / (clean.sum() + 50))
+    return max(2 * alarm, float((judged[sure].sum() + 20 * RECALL) / (sure.sum() + 20))), alarm
+
+
+def cut(score: np.ndarray, judged: np.ndarray, recall: float, alarm: float) -> float:
+    """The score from which on the best balance of misses and false alarms is expected. How many of a score are abusive is the share
+    judged so, made to fall with the score, less what the judgement's errors make of it."""
+    order = np.argsort(-score, kind="stable")
+    share = np.clip((_falling(judged[order].astype(float)) - alarm) / (recall - alarm), 0, 1)
+    balance = 2 * np.cumsum(share) / (np.arange(1, len(share) + 1) + share.sum() + 1e-9)
+    k = int(balance.argmax())
+    below = score[order[k + 1]] if k + 1 < len(order) else 0.0
+    return float((score[order[k]] + below) / 2)
+
+
+def fit(texts: list[tuple[str, bool]], least: int = 4, seed: int = 1, **how) -> Machine:
     """(text, judged abusive) rows to a machine.
 
-    After a first fit to the judgements, each text's own state is estimated from its judgement and its worst stretch, and the machine fitted to that."""
+    Each half of the texts is scored by a machine fitted to the other: these scores tell how often the judgement is wrong and from which
+    score on a text counts as abusive. Then a machine is fitted to all, with the judgement's errors known."""
     own = [(stretches(t), y) for t, y in texts]
     often = Counter(h for ws in {tuple(sorted({*ws})) for ws, _ in own} for h in {h for w in ws for h in w})
     at = {h: k for k, h in enumerate(h for h, n in often.items() if n >= least)}
     number: dict[tuple[int, ...], int] = {}
-    own = [([*{number.setdefault(tuple([at[h] for h in w if h in at]), len(number)) for w in ws}], y) for ws, y in own]
-    rows = [*number]
+    own = [([*{number.setdefault(tuple([at[h] for h in w if h in at]), len(number)) for w in ws}], y) for ws, y in own if ws]
+    rows, judged = [*number], np.array([y for _, y in own], bool)
+    none = Machine(-50.0, at, np.zeros(len(at)), np.zeros((len(at), 1)))
+    if not at or not judged.any():
+        return none
+    score = np.zeros(len(own))
+    for side in (0, 1):
+        half = [x for k, x in enumerate(own) if k % 2 == side]
+        m = _fitted(half, rows, at, RECALL, ALARM, seed=seed, **how) if any(y for _, y in half) else none
+        score[1 - side :: 2] = _worst(m.all(rows), own[1 - side :: 2])[1]
+    recall, alarm = noise(score, judged)
+    m = _fitted(own, rows, at, recall, alarm, seed=seed, **how)
+    m.recall, m.alarm, m.threshold = recall, alarm, cut(score, judged, recall, alarm)
+    return m
+
+
+def _worst(p: np.ndarray, own: list[tuple[list[int], bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text its worst stretch, and that one's score."""
+    worst = np.array([ws[int(p[ws].argmax())] for ws, _ in own], np.int64)
+    return worst, p[worst]
+
+
+def _fitted(own: list[tuple[list[int], bool]], rows: list[tuple[int, ...]], at: dict[int, int], recall: float, alarm: float, factors: int = 4, epochs: int = 30, rate: float = 0.3, rounds: int = 3, seed: int = 1) -> Machine:
+    """First to the judgements, then to each text's own state as its judgement and its worst stretch tell it together."""
     rng = np.random.default_rng(seed)
     m = Machine(-3.0, at, np.zeros(len(at)), rng.normal(0, 0.02, (len(at), factors)))
-    if not at or not any(y for _, y in own):
-        m.w0 = -50.0
-        return m
+    judged = np.array([y for _, y in own], bool)
     for r in range(rounds):
         yes, no = np.zeros(len(rows)), np.zeros(len(rows))
         if r == 0:  # as judged: of a text's stretches, those that are seldom in other texts stand out
@@ -171,20 +212,31 @@ def fit(texts: list[tuple[str, bool]], least: int = 4, factors: int = 4, epochs:
                 (yes if y else no)[ws] += 1
         else:
             p = m.all(rows)
-            p = np.clip((p - ALARM) / (RECALL - ALARM), 1e-6, 1 - 1e-6) if r == 1 else np.clip(p, 1e-6, 1 - 1e-6)
-            for ws, y in own:
-                if ws:
-                    worst = ws[int(p[ws].argmax())]
-                    q = p[worst] * (RECALL if y else 1 - RECALL)
-                    q /= q + (1 - p[worst]) * (ALARM if y else 1 - ALARM)
-                    yes[worst] += q
-                    no[ws] += 1
-                    no[worst] -= q
+            p = np.clip((p - alarm) / (recall - alarm), 1e-6, 1 - 1e-6) if r == 1 else np.clip(p, 1e-6, 1 - 1e-6)
+            worst, q = _worst(p, own)
+            q = q * np.where(judged, recall, 1 - recall) / (q * np.where(judged, recall, 1 - recall) + (1 - q) * np.where(judged, alarm, 1 - alarm))
+            for (ws, _), k, x in zip(own, worst, q):
+                yes[k] += x
+                no[ws] += 1
+                no[k] -= x
         pick = [k for k, w in enumerate(rows) if w and yes[k] + no[k] > 0]
         m = _descend(m, [rows[k] for k in pick], yes[pick], no[pick], epochs, rate, rng)
     return m
 
 
+def _falling(y: np.ndarray) -> np.ndarray:
+    """The closest values to y that never rise: neighbours that do are pooled."""
+    value, size = [], []
+    for x in y.tolist():
+        value.append(x)
+        size.append(1)
+        while len(value) > 1 and value[-1] >= value[-2]:
+            v, n = value.pop(), size.pop()
+            value[-1] = (value[-1] * size[-1] + v * n) / (size[-1] + n)
+            size[-1] += n
+    return np.repeat(value, size)
+
+
 def _descend(m: Machine, rows: list[tuple[int, ...]], yes: np.ndarray, no: np.ndarray, epochs: int, rate: float, rng, prior: tuple[float, float] = (1.0, 8.0)) -> Machine:
     """Adagrad on the weighted likelihood, with normal priors of these precisions on w and v."""
     w0, w, v = m.w0, m.w.copy(), m.v.copy()
@@ -251,25 +303,24 @@ def _in(s, d: str) -> tuple[DataFrame, DataFrame]:
     return table(s, d, "dataset").select("id", F.col("post_text").alias("text")), table(s, d, "intelligence_result").select(F.col("post_id").alias("id"), "category")
 
 
-#: From this score on a text counts as abusive.
-THRESHOLD = 0.38
-
-
 def p4_found(s, d: str) -> DataFrame:
     posts, judged = _in(s, d)
-    return scored(posts, fit_on(posts, judged)).where(F.col("score") >= THRESHOLD).select("id")
+    m = fit_on(posts, judged)
+    return scored(posts, m).where(F.col("score") >= m.threshold).select("id")
 
 
 def p4_scores(s, d: str) -> DataFrame:
+    """Every post's score, and whether it counts as abusive."""
     posts, judged = _in(s, d)
-    return scored(posts, fit_on(posts, judged))
+    m = fit_on(posts, judged)
+    return scored(posts, m).withColumn("abusive", F.col("score") >= m.threshold)
 
 
 def p4_rates(s, d: str) -> DataFrame:
     """For each platform: its posts with text, and how many and what share of them are abusive."""
     platforms = table(s, d, "dataset").where("id is not null").groupBy("id").agg(F.min(F.lower(F.trim("platform"))).alias("platform"))
     r = p4_scores(s, d).where("score is not null").join(platforms, "id").groupBy("platform")
-    r = r.agg(F.count("*").alias("n_posts"), F.count_if(F.col("score") >= THRESHOLD).alias("n_abusive"))
+    r = r.agg(F.count("*").alias("n_posts"), F.count_if("abusive").alias("n_abusive"))
     return r.withColumn("share", F.round(F.col("n_abusive") / F.col("n_posts"), 6))
 
 
