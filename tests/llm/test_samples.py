@@ -6,7 +6,7 @@ import random
 import pytest
 
 pytest.importorskip("vakya.llm")
-from vakya.llm import mixing, quota  # noqa: E402
+from vakya.llm import base, mixing, quota  # noqa: E402
 
 DIR = "/root/testdata/sf0.01"
 TARGETS = "platform string, topic string, ground_truth_sentiment string, target_permille int, min_rows int"
@@ -141,5 +141,5 @@ def test_mix_edge_cases(spark):
 
 def test_sizes_in_tokens(spark):
     df = spark.createDataFrame([(1, "a", "hello world"), (2, "a", None), (3, "a", "<|endoftext|>")], "doc_id bigint, source string, text string")
-    got = dict(rows(mixing.sized(df, mixing.TOKENIZER).select("doc_id", "size")))
+    got = dict(rows(mixing.sized(df, f"{base.tokenizers(spark)}/{mixing.TOKENIZER}").select("doc_id", "size")))
     assert got[1] == 2 and got[2] == 0 and got[3] > 1

@@ -135,7 +135,7 @@ HD = ["यह सड़क बहुत खराब है और कोई न
 @pytest.fixture(scope="module")
 def model():
     rows = [("en", x) for x in EN * 9] + [("hi", x) for x in (HI + HD) * 9] + [("mr", x) for x in MR * 9] + [("te", "ఈ రోడ్డు బాగా లేదు")] * 9 + [("hi", EN[0]), ("en", HI[1]), ("hi", MR[2])] * 2
-    return langid.fit(rows, langid.read_vocabulary(langid.VOCABULARY))
+    return langid.fit(rows, langid.read_vocabulary(f"/opt/tokenizers/{langid.VOCABULARY}"))
 
 
 def test_forward_sums_all_segmentations():

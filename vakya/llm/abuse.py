@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vakya.llm.base import check_broadcast, deep_size, not_blank, table
+from vakya.llm.base import check_broadcast, deep_size, not_blank, on_executors, table
 from vakya.llm.looks import transducer
 
 LABEL = "hate speech"
@@ -148,6 +148,7 @@ class Machine:
 
 #: Where the estimate of the judgement's noise starts: of abusive texts, how many it calls so, and of others.
 RECALL, ALARM = 0.55, 0.02
+PARTS = 4
 
 
 def noise(score: np.ndarray, judged: np.ndarray) -> tuple[float, float]:
@@ -169,10 +170,10 @@ def cut(score: np.ndarray, judged: np.ndarray, recall: float, alarm: float) -> f
     return float((score[order[k]] + below) / 2)
 
 
-def fit(texts: list[tuple[str, bool]], least: int = 4, seed: int = 1, **how) -> Machine:
-    """(text, judged abusive) rows to a machine.
+def fit(texts: list[tuple[str, bool]], least: int = 4, seed: int = 1, each_of=map, **how) -> Machine:
+    """(text, judged abusive) rows to a machine; `each_of` maps a function over the parts, if need be elsewhere.
 
-    Each half of the texts is scored by a machine fitted to the other: these scores tell how often the judgement is wrong and from which
+    Each of four parts of the texts is scored by a machine fitted to the others: these scores tell how often the judgement is wrong and from which
     score on a text counts as abusive. Then a machine is fitted to all, with the judgement's errors known."""
     own = [(stretches(t), y) for t, y in texts]
     often = Counter(h for ws in {tuple(sorted({*ws})) for ws, _ in own} for h in {h for w in ws for h in w})
@@ -184,16 +185,20 @@ def fit(texts: list[tuple[str, bool]], least: int = 4, seed: int = 1, **how) ->
     if not at or not judged.any():
         return none
     score = np.zeros(len(own))
-    for side in (0, 1):
-        half = [x for k, x in enumerate(own) if k % 2 == side]
-        m = _fitted(half, rows, at, RECALL, ALARM, seed=seed, **how) if any(y for _, y in half) else none
-        score[1 - side :: 2] = _worst(m.all(rows), own[1 - side :: 2])[1]
+    parts = [np.arange(len(own)) % PARTS == k for k in range(PARTS)]
+    jobs = [([x for x, out in zip(own, part) if not out], rows, at, RECALL, ALARM) for part in parts]
+    for part, m in zip(parts, each_of(partial(_tried, seed=seed, **how), jobs)):
+        score[part] = _worst((m or none).all(rows), [x for x, out in zip(own, part) if out])[1]
     recall, alarm = noise(score, judged)
     m = _fitted(own, rows, at, recall, alarm, seed=seed, **how)
     m.recall, m.alarm, m.threshold = recall, alarm, cut(score, judged, recall, alarm)
     return m
 
 
+def _tried(job: tuple, **how) -> Machine | None:
+    return _fitted(*job, **how) if any(y for _, y in job[0]) else None
+
+
 def _worst(p: np.ndarray, own: list[tuple[list[int], bool]]) -> tuple[np.ndarray, np.ndarray]:
     """Of each text its worst stretch, and that one's score."""
     worst = np.array([ws[int(p[ws].argmax())] for ws, _ in own], np.int64)
@@ -282,7 +287,7 @@ def fit_on(posts: DataFrame, judgements: DataFrame, sample: int = 40_000) -> Mac
     part = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(1, n)))
     texts = posts.where(part & not_blank("text")).groupBy("id").agg(F.min("text").alias("text"))
     rows = texts.join(j.where(part), "id").select("id", "text", "y").limit(2 * sample).collect()
-    m = fit([(r["text"], bool(r["y"])) for r in sorted(rows)])
+    m = fit([(r["text"], bool(r["y"])) for r in sorted(rows)], each_of=on_executors(posts.sparkSession))
     check_broadcast(deep_size(m.at) + m.v.nbytes)
     return m
 

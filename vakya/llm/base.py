@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import sys
 import unicodedata
@@ -108,6 +109,30 @@ def words_of(text: str) -> list[str]:
     return word_pattern().findall(text.lower())
 
 
+def on_executors(spark: SparkSession):
+    """A `map` whose calls run as tasks, one each; what they take and give is small (fits to bounded samples)."""
+
+    def each(f, items):
+        items = [*items]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k in b.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pickle.dumps(f(items[k]))], pa.binary())], names=["id", "out"])
+
+        if not items:
+            return []
+        rows = spark.range(0, len(items), 1, len(items)).mapInArrow(run, "id bigint, out binary").collect()
+        return [pickle.loads(bytes(r["out"])) for r in sorted(rows)]
+
+    return each
+
+
+def tokenizers(spark: SparkSession) -> str:
+    """The folder of public tokenizers: `vakya.tokenizers` of the session."""
+    return spark.conf.get("vakya.tokenizers", "/opt/tokenizers")
+
+
 def check_broadcast(n_bytes: int, bound: int = 64 << 20) -> None:
     """Raise where data to be broadcast is larger than its bound."""
     if n_bytes > bound:

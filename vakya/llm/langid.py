@@ -3,8 +3,9 @@
 A word's probability in a language sums over all its segmentations into pieces of a fixed public vocabulary (a forward algorithm
 over its bytes), with each language's own piece probabilities. These are fitted by expectation maximisation to a sample of
 labelled rows of bounded size; the labels being partly wrong, rows are labelled anew by the model and fitted again. Which
-languages a script may hold comes from the sample too, so most scripts settle a word's language by themselves. Within a run
-of one script the languages of the words are found together (Viterbi, with a cost for switching).
+languages a script may hold comes from the sample too. Where it's but one, what its text is weighed against is a language without
+habits, in which all letters of the script are as likely, so the confidence says how much a stretch reads like the language. Within a run of
+a script with several, the languages of the words are found together (Viterbi, with a cost for switching).
 
 Addresses, links, handles, hashtags and words with digits don't count, nor do Latin words capitalised within a sentence (names).
 A language counts as spoken in a text where a whole sentence is in it, however short, or a stretch of `least` words in a row; else the
@@ -25,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vakya.llm.base import check_broadcast, deep_size, not_blank, table, word_pattern
+from vakya.llm.base import check_broadcast, deep_size, not_blank, on_executors, table, tokenizers, word_pattern
 from vakya.llm.looks import transducer
 from vakya.llm.pii import ADDRESS, DISGUISED, HAS_STREET, SIGN
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 # Codes of languages, two and three letters.
 CODES = {"eng": "en", "hin": "hi", "tel": "te", "tam": "ta", "kan": "kn", "mal": "ml", "mar": "mr", "ben": "bn", "guj": "gu", "pan": "pa", "urd": "ur"}
 LANGUAGES = tuple(CODES.values())
@@ -39,7 +40,7 @@ SKIP = re.compile(r"https?://\S+|www\.\S+|[#@]\w+|\S*@\S*|</?\w+>|&\w+;", re.I)
 #: Ends of sentences; a full stop only before a blank or closing sign.
 ENDS = re.compile(r"[\n!?।॥۔؟]|\.(?=[\s\"'”’)\]]|$)")
 SHORTENED = frozenset("rs no dr mr mrs ms st smt shri sri prof vs etc".split())
-FLOOR, LONGEST, SWITCH, SENTENCE_SWITCH = 1e-7, 24, 9.0, 3.0
+FLOOR, SWITCH, SENTENCE_SWITCH = 1e-7, 9.0, 3.0
 
 
 def script_of(word: str) -> str:
@@ -95,24 +96,26 @@ class Model:
 
     def __init__(self, langs: dict[str, list[str]], pieces: dict[str, dict[bytes, tuple[float, ...]]]) -> None:
         self.langs, self.pieces, self.known = langs, pieces, {}
+        self.longest = max((len(x) for of in pieces.values() for x in of), default=1)
 
     def __getstate__(self):
-        return {"langs": self.langs, "pieces": self.pieces, "known": {}}
+        return self.__dict__ | {"known": {}}
 
     def score(self, word: str, script: str) -> list[float]:
-        """The word's log probability in each language of the script, all segmentations summed."""
+        """The word's log probability in each language of the script, all segmentations summed; in a script of one, in that and without habits."""
         key = word
         if (s := self.known.get(key)) is not None:
             return s
         if len(self.known) > 300_000:
             self.known.clear()
-        s = self.known[key] = forward(word, self.pieces[script], len(self.langs[script]))
+        s = self.known[key] = forward(word, self.pieces[script], max(2, len(self.langs[script])), self.longest)
         return s
 
 
-def forward(word: str, pieces: dict[bytes, tuple[float, ...]], k: int) -> list[float]:
+def forward(word: str, pieces: dict[bytes, tuple[float, ...]], k: int, longest: int = 0) -> list[float]:
     text = (" " + word).encode()
     n = len(text)
+    longest = longest or max(map(len, pieces))
     at = [None] * (n + 1)
     at[0] = (1.0,) * k
     shift = 0.0
@@ -123,11 +126,11 @@ def forward(word: str, pieces: dict[bytes, tuple[float, ...]], k: int) -> list[f
             continue
         if i and i % 48 == 0 and (top := max(a)) > 0:  # keeps long words from underflow
             shift += math.log(top)
-            for j in range(i, min(n, i + LONGEST) + 1):
+            for j in range(i, min(n, i + longest) + 1):
                 if at[j] is not None:
                     at[j] = tuple(x / top for x in at[j])
             a = at[i]
-        for j in range(i + 1, min(n, i + LONGEST) + 1):
+        for j in range(i + 1, min(n, i + longest) + 1):
             p = get(text[i:j])
             if p is not None:
                 b = at[j]
@@ -135,16 +138,22 @@ def forward(word: str, pieces: dict[bytes, tuple[float, ...]], k: int) -> list[f
     return [math.log(x) + shift if x > 0 else -700.0 for x in at[n]] if at[n] else [-700.0] * k
 
 
-def _expected(word: str, count: float, probability: dict[bytes, float], into: dict[bytes, float]) -> None:
-    """Add the expected number of each piece over the word's segmentations."""
-    text = (" " + word).encode()[:256]
+def _expected(word: str, count: float, probability: dict[bytes, float], into: dict[bytes, float], longest: int, singles: dict[bytes, tuple[float]]) -> None:
+    """Add the expected number of each piece over the word's segmentations. Probabilities are scaled by byte, by as much as the whole word
+    is likely, so words of any length stay within the range of numbers."""
+    text = (" " + word).encode()
     n = len(text)
+    scale = [1.0] * (longest + 1)
+    if n > 96:
+        (whole,) = forward(word, singles, 1, longest)
+        scale = [math.exp(min(700.0, -whole * k / n)) for k in range(longest + 1)]
     a, arcs = [0.0] * (n + 1), []
     a[0] = 1.0
     for i in range(n):
         if a[i]:
-            for j in range(i + 1, min(n, i + LONGEST) + 1):
+            for j in range(i + 1, min(n, i + longest) + 1):
                 if p := probability.get(text[i:j]):
+                    p *= scale[j - i]
                     a[j] += a[i] * p
                     arcs.append((i, j, p))
     if not a[n]:
@@ -163,8 +172,8 @@ def read_vocabulary(path: str) -> list[bytes]:
         return [base64.b64decode(line.split()[0]) for line in f if line.strip()]
 
 
-def fit(rows: list[tuple[str, str]], vocabulary: list[bytes], rounds: int = 3, own_share: float = 0.2) -> Model:
-    """(label, text) rows to a model.
+def fit(rows: list[tuple[str, str]], vocabulary: list[bytes], rounds: int = 3, own_share: float = 0.2, each_of=map) -> Model:
+    """(label, text) rows to a model; `each_of` maps a function over the scripts, if need be elsewhere.
 
     A script may hold the language it's most labelled with and those with words of their own: words mostly labelled so, which
     make up `own_share` of the label's words. Wrong labels have none, as theirs are the words of another language."""
@@ -176,7 +185,6 @@ def fit(rows: list[tuple[str, str]], vocabulary: list[bytes], rounds: int = 3, o
             if not name:
                 by[script_of(w)].append(w)
         units += [(s, label, ws) for s, ws in by.items() if s != "other"]
-    total: dict[str, Counter] = defaultdict(Counter)
     each: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
     for s, label, ws in units:
         for w in ws:
@@ -191,54 +199,71 @@ def fit(rows: list[tuple[str, str]], vocabulary: list[bytes], rounds: int = 3, o
                 label, k = c.most_common(1)[0]
                 if k > n / 2:
                     own[label] += k
-        total[s] = common or Counter(x for c in words.values() for x in c)
-        most = total[s].most_common(1)[0][0]
-        langs[s] = sorted(x for x in total[s] if x == most or own[x] > own_share * common[x])
+        total = common or Counter(x for c in words.values() for x in c)
+        most = total.most_common(1)[0][0]
+        langs[s] = sorted(x for x in total if x == most or own[x] > own_share * common[x])
     often = Counter(w for _, _, ws in units for w in ws)
-    pieces: dict[str, dict[bytes, tuple[float, ...]]] = {}
-    known = {p for p in vocabulary if len(p) <= LONGEST} | {bytes([k]) for k in range(256)}
-    for s, of in langs.items():
-        if len(of) < 2:
-            continue
-        own = [(label, ws) for t, label, ws in units if t == s]
-        now = [label if label in of else None for label, _ in own]
-        for r in range(rounds):
-            counts: dict[str, Counter] = {x: Counter() for x in of}
-            for label, (_, ws) in zip(now, own):
-                if label:
-                    counts[label].update(w for w in ws if often[w] > 1)
-            tables = {}
-            for x in of:
-                p: dict[bytes, float] = {}
-                for w in counts[x]:
-                    text = (" " + w).encode()[:256]
-                    for i in range(len(text)):
-                        for j in range(i + 1, min(len(text), i + LONGEST) + 1):
-                            if text[i:j] in known:
-                                p[text[i:j]] = 1.0 / 5000 if j - i > 1 else 1.0 / 50000
-                for _ in range(3):
-                    e: dict[bytes, float] = {}
-                    for w, c in counts[x].items():
-                        _expected(w, c, p, e)
-                    n = sum(e.values()) or 1.0
-                    p = {y: v / n for y, v in e.items() if v / n > FLOOR}
-                tables[x] = p
-            every = set().union(*tables.values()) | {bytes([k]) for k in range(256)}
-            pieces[s] = {y: tuple(tables[x].get(y, 0.0) + FLOOR for x in of) for y in every}
-            if r + 1 < rounds:
-                m = Model(langs, pieces)
-                for k, (label, ws) in enumerate(own):
-                    sums = [0.0] * len(of)
-                    for w in ws:
-                        if often[w] > 1:
-                            sums = [a + b for a, b in zip(sums, m.score(w, s))]
-                    if label in of:
-                        sums[of.index(label)] += 5.0
-                    best = max(sums)
-                    now[k] = of[sums.index(best)] if sum(v > best - 5.0 for v in sums) == 1 else None
+    todo = [(s, of, [(label, [w for w in ws if often[w] > 1]) for t, label, ws in units if t == s]) for s, of in langs.items()]
+    pieces = dict(zip(langs, each_of(partial(_pieces, vocabulary=vocabulary, rounds=rounds), todo)))
     return Model(langs, pieces)
 
 
+def _without_habits(pieces: dict[bytes, tuple[float, ...]]) -> list[float]:
+    """The same pieces' probabilities in a language in which all letters of the script are as likely: what tells letters apart, the last
+    byte of a letter or an ASCII letter, shares what all of them have; pieces of several letters are gone."""
+    last = lambda y: len(y) == 1 and (0x80 <= y[0] < 0xC0 or chr(y[0]).isalpha())
+    rest = lambda y: y == b" " or (y[-1] >= 0x80 and not y.decode(errors="ignore").strip())
+    of = [y for y in pieces if last(y)]
+    share = sum(p for y, (p,) in pieces.items() if last(y) or not rest(y)) / max(1, len(of) if any(y[0] < 0x80 and pieces[y][0] > 2 * FLOOR for y in of) else 64)
+    return [share if last(y) else p if rest(y) else FLOOR for y, (p,) in pieces.items()]
+
+
+def _pieces(script: tuple[str, list[str], list[tuple[str, list[str]]]], vocabulary: list[bytes], rounds: int) -> dict[bytes, tuple[float, ...]]:
+    """The piece probabilities of one script's languages, from (label, words) of its texts."""
+    s, of, own = script
+    known = {*vocabulary} | {bytes([k]) for k in range(256)}
+    longest = max(map(len, known))
+    now = [label if label in of else None for label, _ in own] if len(of) > 1 else [of[0]] * len(own)
+    for r in range(rounds if len(of) > 1 else 1):
+        counts: dict[str, Counter] = {x: Counter() for x in of}
+        for label, (_, ws) in zip(now, own):
+            if label:
+                counts[label].update(ws)
+        tables = {}
+        for x in of:
+            p: dict[bytes, float] = {}
+            for w in counts[x]:
+                text = (" " + w).encode()
+                for i in range(len(text)):
+                    for j in range(i + 1, min(len(text), i + longest) + 1):
+                        if text[i:j] in known:
+                            p[text[i:j]] = 1.0 / 5000 if j - i > 1 else 1.0 / 50000
+            most = max(map(len, p), default=1)
+            for _ in range(3):
+                e: dict[bytes, float] = {}
+                singles = {y: (v,) for y, v in p.items()}
+                for w, c in counts[x].items():
+                    _expected(w, c, p, e, most, singles)
+                n = sum(e.values()) or 1.0
+                p = {y: v / n for y, v in e.items() if v / n > FLOOR}
+            tables[x] = p
+        every = set().union(*tables.values()) | {bytes([k]) for k in range(256)}
+        pieces = {y: tuple(tables[x].get(y, 0.0) + FLOOR for x in of) for y in every}
+        if len(of) == 1:
+            return {y: (p, q) for (y, (p,)), q in zip(pieces.items(), _without_habits(pieces))}
+        if r + 1 < rounds:
+            m = Model({s: of}, {s: pieces})
+            for k, (label, ws) in enumerate(own):
+                sums = [0.0] * len(of)
+                for w in ws:
+                    sums = [a + b for a, b in zip(sums, m.score(w, s))]
+                if label in of:
+                    sums[of.index(label)] += 5.0
+                best = max(sums)
+                now[k] = of[sums.index(best)] if sum(v > best - 5.0 for v in sums) == 1 else None
+    return pieces
+
+
 def segments(text: str, model: Model, least: int = 5) -> list[tuple[int, int, str, float, int, bool]]:
     """(start, end, language, confidence, words, holds a whole sentence) of the stretches of a text in plain form."""
     runs: list[tuple[str, list, list]] = []
@@ -264,7 +289,8 @@ def segments(text: str, model: Model, least: int = 5) -> list[tuple[int, int, st
         of = model.langs[s]
         k = len(of)
         if k == 1:
-            out.append([ws[0][1], ws[-1][2], of[0], 1.0, len(ws), bool(whole(ns))])
+            own, none = (sum(x) for x in zip(*(model.score(w, s) for w, *_ in ws)))
+            out.append([ws[0][1], ws[-1][2], of[0], 1.0 / (1.0 + math.exp(max(-700.0, min(700.0, none - own)))), len(ws), bool(whole(ns))])
             continue
         zero = [0.0] * k
         scores = [zero if name else model.score(w, s) for w, _, _, name in ws]
@@ -347,12 +373,14 @@ def plain_code(label: str):
     return F.when(x.isin(*LANGUAGES), x)
 
 
-def fit_on(texts: DataFrame, sample: int = 20_000, vocabulary: str = VOCABULARY) -> Model:
-    """A model from (key, text, label) rows, of which about `sample`, chosen by a hash of their key, are used."""
+def fit_on(texts: DataFrame, sample: int = 20_000, vocabulary: str | None = None) -> Model:
+    """A model from (key, text, label) rows, of which about `sample`, chosen by a hash of their key, are used. The scripts are fitted to on
+    the executors, each in a task. `vocabulary` is the path of a file of byte pieces; else it's looked for where the session says."""
+    vocabulary = vocabulary or f"{tokenizers(texts.sparkSession)}/{VOCABULARY}"
     rows = texts.where(not_blank("text")).select("key", "text", plain_code("label").alias("label")).where("label is not null")
     n = rows.count()
-    part = rows if n <= sample else rows.where(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-    model = fit([(r["label"], r["text"]) for r in part.select("label", "text").limit(2 * sample).collect()], read_vocabulary(vocabulary))
+    part = rows.where(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(1, n))))
+    model = fit([(r["label"], r["text"]) for r in part.select("label", "text").limit(2 * sample).collect()], read_vocabulary(vocabulary), each_of=on_executors(texts.sparkSession))
     check_broadcast(deep_size(model.pieces))
     return model
 

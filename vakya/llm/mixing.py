@@ -26,14 +26,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vakya.llm.base import release, table, written
+from vakya.llm.base import release, table, tokenizers, written
 
 BLANKS = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 GOLDEN = (math.sqrt(5) - 1) / 2
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "byte_bpe_50k.json"
 
 
-def token_counter(path: str = TOKENIZER):
+def token_counter(path: str):
     """Column function: the number of tokens by a tokenizer's file."""
 
     @F.pandas_udf(T.LongType())
@@ -147,7 +147,7 @@ def _in(s, d: str) -> tuple[DataFrame, DataFrame]:
 QUERIES = {
     "p9_found": lambda s, d: mix_report(*_in(s, d)).where("short").select("source"),
     "p9_report": lambda s, d: mix_report(*_in(s, d)),
-    "p9_report_tokens": lambda s, d: mix_report(*_in(s, d), tokenizer=TOKENIZER),
+    "p9_report_tokens": lambda s, d: mix_report(*_in(s, d), tokenizer=f"{tokenizers(s)}/{TOKENIZER}"),
     "p9_mix": lambda s, d: mix(*_in(s, d)),
 }
 _sizes_sql = """
