@@ -96,7 +96,7 @@ class Model:
 
     def __init__(self, langs: dict[str, list[str]], pieces: dict[str, dict[bytes, tuple[float, ...]]]) -> None:
         self.langs, self.pieces, self.known = langs, pieces, {}
-        self.longest = max((len(x) for of in pieces.values() for x in of), default=1)
+        self.longest = {s: max(map(len, of), default=1) for s, of in pieces.items()}
 
     def __getstate__(self):
         return self.__dict__ | {"known": {}}
@@ -108,7 +108,7 @@ class Model:
             return s
         if len(self.known) > 300_000:
             self.known.clear()
-        s = self.known[key] = forward(word, self.pieces[script], max(2, len(self.langs[script])), self.longest)
+        s = self.known[key] = forward(word, self.pieces[script], max(2, len(self.langs[script])), self.longest[script])
         return s
 
 
@@ -116,6 +116,16 @@ def forward(word: str, pieces: dict[bytes, tuple[float, ...]], k: int, longest:
     text = (" " + word).encode()
     n = len(text)
     longest = longest or max(map(len, pieces))
+    if k == 2 and n <= 96:  # most words; plain sums are quicker
+        one, two, get = [1.0] + [0.0] * n, [1.0] + [0.0] * n, pieces.get
+        for i in range(n):
+            if (x := one[i]) or two[i]:
+                y = two[i]
+                for j in range(i + 1, min(n, i + longest) + 1):
+                    if p := get(text[i:j]):
+                        one[j] += x * p[0]
+                        two[j] += y * p[1]
+        return [math.log(x) if x > 0 else -700.0 for x in (one[n], two[n])]
     at = [None] * (n + 1)
     at[0] = (1.0,) * k
     shift = 0.0
