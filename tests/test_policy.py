@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vakya.functions import intel, policy
-from vakya.operators import reports
+from vakya.operators import mt_metrics, reports
 from vakya.plans.queries import QUERIES
 
 
@@ -63,6 +63,22 @@ def test_fallback_replies(spark, reply, failure):
     assert got["failure"] == failure and (got["english_text"] is None) == (failure is not None)
 
 
+def test_the_best_models_in_a_document(spark):
+    t = spark.createDataFrame([("a", 30.0, 50.0, None, 9.0), ("b", 31.0, 50.0, None, 8.0)], "model string, bleu double, chrf double, comet double, avg_time_ms double")
+    m = spark.createDataFrame([("x", 0.8, 0.7, 0.75, 5.0), ("y", 0.9, 0.7, 0.75, 5.0)], "model string, accuracy double, f1_macro double, f1_weighted double, avg_time_ms double")
+    by = spark.createDataFrame([("te", "x", 0.4), ("te", "y", 0.5), ("hi", "x", 0.6), ("hi", "y", 0.5), ("kn", "y", 0.9)], "language string, model string, f1_macro double")
+    doc = reports.best_document(t, m, by)
+    assert doc.startswith("# Best models: b, then y\n") and "- COMET: n/a" in doc and "1. COMET: unavailable" in doc and "1. chrF: tie at 50.0" in doc
+    assert "Better than x by macro F1 for: te" in doc and "## Sentiment: y" in doc
+    wide = reports.formatted_table(t.withColumns({"n_translated": F.lit(3), "total_time_s": F.lit(1.25), "model_size_mb": F.lit(10.0), "gpu_peak_mb": F.lit(None).cast("double")}), "model", reports.TRANSLATION_ROWS, ["a", "b"]).orderBy("place")
+    assert [tuple(r)[1:] for r in wide.collect()][:5] == [("BLEU", "30.00", "31.00"), ("chrF", "50.00", "50.00"), ("COMET", "n/a", "n/a"), ("Posts translated", "3", "3"), ("Avg latency (ms/post)", "9.0", "8.0")]
+    with pytest.raises(ValueError):
+        reports.markdown(spark.range(5), most=4)
+    assert reports.markdown(spark.range(5)).count("\n") == 6
+    masks = spark.createDataFrame([(True, None), (None, None), (False, True)], "a boolean, b boolean")
+    assert [r[0] for r in masks.select(mt_metrics.either("a", "b")).collect()] == [True, False, True]
+
+
 def test_tables(spark):
     df = spark.createDataFrame([(1, "a", "hello", 2.0, "p"), (1, "b", "hi", 3.0, "p"), (2, "a", "x", 1.0, "q")], "id int, model string, english_text string, translation_time_ms double, post_text string")
     t = reports.translations_table(df, "id", "model", ["a", "b"], base=["post_text"], selected="a")

@@ -88,8 +88,8 @@ def canonical_probs(raw: Column | str, mapping: dict[int, int], scale: float = 2
 
 def top_label(probs: Column | str) -> Column:
     """The label with the highest share, the first of equals."""
-    p = col(probs)
-    return F.array(*map(F.lit, LABELS))[(F.array_position(p, F.array_max(p)) - 1).cast("int")]
+    best = F.array_max(F.transform(col(probs), lambda v, k: F.struct(v.alias("v"), (-k).alias("k"))))
+    return F.get(F.array(*map(F.lit, LABELS)), -best["k"])
 
 
 def top_confidence(probs: Column | str) -> Column:

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vakya.functions.annotate import canonical_probs, label_mapping
 from vakya.functions.lexicons import NEGATION, NEGATIVE, POSITIVE
 from vakya.functions.quality import _any, decoded, effective_polarity, english_cores, route, unusable_reason
-from vakya.functions.roman import cue_language, model_input, model_words, spellable, with_spellings
+from vakya.functions.roman import cue_count, cue_language, model_input, model_words, residual, roman_language, spellable, with_spellings
 from vakya.functions.script import detect_script, is_latin, unique_language
 from vakya.functions.text import let
 from vakya.sources.store import written
@@ -115,6 +116,31 @@ def spelled(df: DataFrame, text: str, lang: str, make, out: str = "native_text")
     return r.withColumn(out, F.col("_out")).drop("_text", "_lang", "_out")
 
 
+def class_scores(df: DataFrame, text: str, make, names: dict[int, str], out: str = "probs", batch: int = 16) -> DataFrame:
+    """Adds `out`, a model's scores of a text's classes in canonical form, and sentiment_time_ms. Each distinct text is scored once; null
+    texts, and those that the model fails on, have none."""
+    texts = df.select(F.col(text).alias("_text")).where("_text is not null").distinct().withColumn("_lang", F.lit("en"))
+    scored = mapped(texts, "_text", "_lang", make, "_raw", batch, "array<double>")
+    scored = scored.select("_text", F.when(F.col("failure").isNull(), canonical_probs("_raw", label_mapping(names))).alias(out), F.round("time_ms", 3).alias("sentiment_time_ms"))
+    return df.join(scored, df[text] == scored["_text"], "left").drop("_text")
+
+
+RANKED = "array<struct<label:string,score:double>>"
+
+
+def romanised(df: DataFrame, text: str, ranker, second, out: str = "roman", sure: float = 0.6) -> DataFrame:
+    """Adds `out`, the language of Latin texts by models: one ranks labels of the text, and of what is left of it without English words
+    where cues are in it; a second opinion is asked for where the first isn't sure or says English. Each distinct text is seen once."""
+    t = df.select(F.col(text).alias("_text")).where("_text is not null and trim(_text) <> ''").distinct().withColumn("_lang", F.lit("")).withColumn("_rest", F.when(cue_count("_text") >= 1, residual("_text")))
+    first = written(mapped(t, "_text", "_lang", ranker, "_ranked", 64, RANKED).drop("failure", "time_ms"))
+    top = F.try_element_at("_ranked", F.lit(1))
+    unsure = first.where(F.coalesce((top["score"] < sure) | (top["label"] == "eng_Latn"), F.lit(True))).select("_text", "_lang")
+    other = mapped(unsure, "_text", "_lang", second, "_bert", 64).select("_text", "_bert")
+    rests = mapped(first.where("_rest <> ''").select("_rest", "_lang").distinct(), "_rest", "_lang", ranker, "_rest_ranked", 64, RANKED).select("_rest", "_rest_ranked")
+    all_ = first.join(other, "_text", "left").join(rests, "_rest", "left").select("_text", roman_language("_text", "_ranked", "_bert", "_rest_ranked").alias(out))
+    return df.join(all_, df[text] == all_["_text"], "left").drop("_text")
+
+
 def lexicon_probs(english: Column | str) -> Column:
     """A stand-in for a sentiment model: shares by polarity words and negation."""
     of = lambda t: effective_polarity(_any(t, POSITIVE), _any(t, NEGATIVE), _any(t, NEGATION))

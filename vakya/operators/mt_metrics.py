@@ -88,6 +88,11 @@ def chrf(df: DataFrame, hyp: str, ref: str, by: list[str] | None = None) -> Data
     return s.select(*by, (100 * f).alias("chrf"))
 
 
+def either(*masks: Column | str) -> Column:
+    """Whether any of the conditions holds; null is no."""
+    return F.greatest(F.lit(False), *(F.coalesce(col(m), F.lit(False)) for m in masks))
+
+
 def agreement(df: DataFrame, a: str, b: str, either: Column) -> DataFrame:
     """(bleu, chrf): the mean of both directions over the rows that either system translated."""
     both = F.array(*(F.struct(F.lit(d).alias("d"), F.col(x).alias("h"), F.col(y).alias("r")) for d, x, y in ((1, a, b), (2, b, a))))

@@ -86,6 +86,30 @@ def summary_markdown(title: str, parts: dict[str, DataFrame]) -> str:
     return "\n\n".join([f"# {title}", *(f"## {k}\n\n{markdown(v)}" for k, v in parts.items())]) + "\n"
 
 
+def best_document(translation: DataFrame, sentiment: DataFrame, by_language: DataFrame, model: str = "model") -> str:
+    """The document on the best models: of each stage the winner with its metrics and why it won, the runner-up's metrics, and the
+    languages that the winner of the second stage is better for. One row per model; by_language has one per language and model."""
+    from vakya.operators.winners import SENTIMENT, TRANSLATION, trail, winner
+
+    first = [("BLEU", "bleu", ".2f"), ("chrF", "chrf", ".2f"), ("COMET", "comet", ".4f"), ("Time (ms/post)", "avg_time_ms", ".1f")]
+    second = [("Accuracy", "accuracy", ".4f"), ("F1 (macro)", "f1_macro", ".4f"), ("F1 (weighted)", "f1_weighted", ".4f"), ("Time (ms/post)", "avg_time_ms", ".1f")]
+    show = lambda v, form: "n/a" if v is None or v != v else format(float(v), form)
+    parts, best = [], []
+    for title, rows, criteria, metrics in (("Translation", translation, TRANSLATION, first), ("Sentiment", sentiment, SENTIMENT, second)):
+        won = winner(rows, model, criteria).first()
+        others = sorted((r for r in rows.collect() if r[model] != won[model]), key=lambda r: r[model])  # a row per model
+        lines = [f"## {title}: {won[model]}", "", *(f"- {name}: {show(won[c], form)}" for name, c, form in metrics), ""]
+        for r in others:
+            lines += [f"### Against {r[model]}", "", *(f"1. {x}" for x in trail(won, r, model, criteria)), "", "; ".join(f"{name} {show(r[c], form)}" for name, c, form in metrics), ""]
+        if title == "Sentiment":
+            for r in others:
+                better = [x[0] for x in better_rows(by_language, "language", model, "f1_macro", won[model], r[model]).collect()]  # a row per language
+                lines += [f"Better than {r[model]} by macro F1 for: {', '.join(better)}", ""] if better else []
+        best.append(won[model])
+        parts.append("\n".join(lines))
+    return "\n".join([f"# Best models: {best[0]}, then {best[1]}", "", *parts])
+
+
 def write_csv(df: DataFrame, path: str, one_file: bool = False, by: list[str] | None = None) -> None:
     """CSV with a header; arrays must be joined before. One file only for small tables."""
     w = (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).option("escape", '"')

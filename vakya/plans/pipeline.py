@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from vakya.functions.annotate import quality_flags, sentiment_truncated, top_confidence, top_label
 from vakya.functions.intel import assessment, contentless, payload, resolved_failures, signals
+from vakya.functions.lexicons import LABELS
 from vakya.functions.policy import DEFAULT, Pack
 from vakya.functions.quality import generation_budget, route
 from vakya.functions.roman import needs_transliteration, refine_language, transliterate_rules
 from vakya.functions.text import clean_text, words
 from vakya.operators.dedupe import first_of
-from vakya.operators.models import lexicon_probs, mapped, roman_cues, script_language, spelled, translated, verified_english
+from vakya.operators.models import class_scores, lexicon_probs, mapped, roman_cues, script_language, spelled, translated, verified_english
 
 
 def with_language(df: DataFrame, text: str = "post_text", detect=script_language, roman=roman_cues) -> DataFrame:
@@ -23,13 +24,13 @@ def with_language(df: DataFrame, text: str = "post_text", detect=script_language
     return t.withColumn("was_transliterated", F.coalesce(needs_transliteration("cleaned_text", "language"), F.lit(False)))
 
 
-def analyze(df: DataFrame, text: str = "post_text", detect=script_language, probs=lexicon_probs, primary=None, secondary=None, roman=roman_cues, speller=None, fallback=None, tokens=None) -> DataFrame:
+def analyze(df: DataFrame, text: str = "post_text", detect=script_language, probs=lexicon_probs, primary=None, secondary=None, roman=roman_cues, speller=None, fallback=None, tokens=None, classifier=None, classes: dict[int, str] | None = None) -> DataFrame:
     """Adds the columns of a result. Without models all rows are taken as they are, which keeps the plan free of Python but for
     cleaning, and fit for streams. Null texts are cleaned to '' and dropped.
 
     primary, secondary, speller and fallback make models (see operators/models.py): of translation, of native spellings, and one that
     translates and judges at once what the others failed on, replying in JSON. Rows that fail for good have `failure` set and no
-    sentiment. tokens: a column function that counts tokens; else words and two signs for the ends are counted."""
+    sentiment. classifier makes a model that scores the `classes` of a text, in place of the column function `probs`. tokens: a column function that counts tokens; else words and two signs for the ends are counted."""
     size = tokens or (lambda x: F.size(words(x)) + 2)
     t = df.withColumnRenamed(text, "post_text") if text != "post_text" else df
     t = with_language(t, "post_text", detect, roman).where(F.length("cleaned_text") > 0)
@@ -50,8 +51,12 @@ def analyze(df: DataFrame, text: str = "post_text", detect=script_language, prob
     cut = F.col("was_translated") & (size("english_text") >= generation_budget(size("_working")))
     t = t.withColumns({"fallback_used": F.lit(False), "fallback_reason": F.lit(""), "translation_truncated": F.coalesce(cut, F.lit(False)), "sentiment_truncated": sentiment_truncated(size("english_text"))})
     good = F.col("failure").isNull()
-    t = t.withColumn("probs", F.when(good, probs("english_text")))
-    t = t.withColumns({"sentiment": top_label("probs"), "confidence": top_confidence("probs"), "sentiment_time_ms": F.lit(0.0), "total_time_ms": F.col("translation_time_ms")})
+    if classifier is None:
+        t = t.withColumn("probs", F.when(good, probs("english_text"))).withColumn("sentiment_time_ms", F.lit(0.0))
+    else:
+        t = class_scores(t, "english_text", classifier, classes or dict(enumerate(LABELS))).withColumn("sentiment_time_ms", F.coalesce("sentiment_time_ms", F.lit(0.0)))
+        t = t.withColumn("failure", F.coalesce("failure", F.when(F.col("probs").isNull(), F.lit("sentiment"))))
+    t = t.withColumns({"sentiment": top_label("probs"), "confidence": top_confidence("probs"), "total_time_ms": F.round(F.col("translation_time_ms") + F.col("sentiment_time_ms"), 3)})
     t = t.withColumns(quality_flags()).drop("_working")
     if fallback is not None:
         t = with_fallback(t, fallback)

@@ -232,7 +232,15 @@ _ar = lambda x: f"CASE WHEN {n_of(x, LETTERS)} = 0 THEN 0 ELSE {_letters(x, 1536
 _top = f"CASE WHEN len({split_words('lower(tgt)')}) >= 8 THEN list_max(map_values(histo)) / len({split_words('lower(tgt)')}) ELSE 0 END"
 
 
-@query(f"WITH {PAIRS_SQL.replace('pairs AS', 'raw AS')}, pairs AS (SELECT result_id, {stripped('src')} AS src, {stripped('tgt')} AS tgt, list_aggregate({split_words('lower(tgt)')}, 'histogram') AS histo FROM raw), {POLARITY_CTE} SELECT result_id, CASE WHEN tgt = '' THEN 'empty' WHEN lower(src) = lower(tgt) THEN 'unchanged' WHEN {n_of('tgt', LETTERS)} = 0 THEN 'no letters' WHEN {n_of('tgt', '[A-Za-z]')} / {n_of('tgt', LETTERS)} < 0.6 THEN 'not latin' WHEN {_ar('src')} >= 0.5 AND {_ar('tgt')} >= 0.2 THEN 'arabic left' WHEN length(tgt) > greatest(256, floor(length(src) * 4.0)) THEN 'too long' WHEN {_top} >= 0.5 THEN 'repeats' WHEN NOT preserved THEN 'polarity' END AS reason FROM f")
+_reason = f"CASE WHEN tgt = '' THEN 'empty' WHEN lower(src) = lower(tgt) THEN 'unchanged' WHEN {n_of('tgt', LETTERS)} = 0 THEN 'no letters' WHEN {n_of('tgt', '[A-Za-z]')} / {n_of('tgt', LETTERS)} < 0.6 THEN 'not latin' WHEN {_ar('src')} >= 0.5 AND {_ar('tgt')} >= 0.2 THEN 'arabic left' WHEN length(tgt) > greatest(256, floor(length(src) * 4.0)) THEN 'too long' WHEN {_top} >= 0.5 THEN 'repeats' WHEN NOT preserved THEN 'polarity' END"
+
+
+def gated(raw: str, keys: str) -> str:
+    """`raw` (keys, src, tgt) to `gated` (keys, tgt, reason): why each translation can't be one."""
+    return f"{raw}, pairs AS (SELECT {keys}, {stripped('src')} AS src, {stripped('tgt')} AS tgt, list_aggregate({split_words('lower(tgt)')}, 'histogram') AS histo FROM raw), {POLARITY_CTE}, gated AS (SELECT {keys}, tgt, {_reason} AS reason FROM f)"
+
+
+@query(f"WITH {gated(PAIRS_SQL.replace('pairs AS', 'raw AS'), 'result_id')} SELECT result_id, reason FROM gated")
 def translation_usable(s, d):
     return _pairs(s, d).select("result_id", quality.unusable_reason("src", "tgt").alias("reason"))
 
@@ -613,12 +621,12 @@ def corpus_bleu(s, d):
     return rounded(mt_metrics.bleu(evaluated(s, d).where("was_translated and ref is not null"), "hyp", "ref"), "bleu")
 
 
-def chrf_sql(h: str, r: str, rows: str) -> str:
+def chrf_sql(h: str, r: str, rows: str, by: str = "") -> str:
     chars = lambda x: f"regexp_replace(coalesce({x}, ''), {quoted(WS)}, '', 'g')"
-    side = lambda x, a, b: f"SELECT q, n, substr({x}, i::INT, n::INT) AS g, {a} AS hc, {b} AS rc FROM ck, range(1, 7) t1(n), range(1, length({x}) - n + 2) t2(i)"
+    side = lambda x, a, b: f"SELECT q, {by} n, substr({x}, i::INT, n::INT) AS g, {a} AS hc, {b} AS rc FROM ck, range(1, 7) t1(n), range(1, length({x}) - n + 2) t2(i)"
     return (
-        f"ck AS (SELECT row_number() OVER () AS q, {chars(h)} AS h, {chars(r)} AS r FROM {rows}), cg AS ({side('h', 1, 0)} UNION ALL {side('r', 0, 1)}), cm AS (SELECT q, n, g, sum(hc) AS hc, sum(rc) AS rc FROM cg GROUP BY ALL), "
-        "co AS (SELECT n, sum(least(hc, rc)) AS m, sum(hc) AS t, sum(rc) AS u FROM cm GROUP BY n), cp AS (SELECT avg(m / t) AS p, avg(m / u) AS r FROM co WHERE t > 0 AND u > 0), cf AS (SELECT 100 * 5 * p * r / (4 * p + r) AS chrf FROM cp)"
+        f"ck AS (SELECT row_number() OVER () AS q, {by} {chars(h)} AS h, {chars(r)} AS r FROM {rows}), cg AS ({side('h', 1, 0)} UNION ALL {side('r', 0, 1)}), cm AS (SELECT q, {by} n, g, sum(hc) AS hc, sum(rc) AS rc FROM cg GROUP BY ALL), "
+        f"co AS (SELECT {by} n, sum(least(hc, rc)) AS m, sum(hc) AS t, sum(rc) AS u FROM cm GROUP BY ALL), cp AS (SELECT {by} avg(m / t) AS p, avg(m / u) AS r FROM co WHERE t > 0 AND u > 0 GROUP BY ALL), cf AS (SELECT {by} 100 * 5 * p * r / (4 * p + r) AS chrf FROM cp)"
     )
 
 
@@ -632,12 +640,24 @@ def translation_metrics(s, d):
     return rounded(mt_metrics.evaluate_translation(evaluated(s, d), "hyp", "ref", ["model"]).select("model", "n_translated", "avg_time_ms", "bleu"), "avg_time_ms", "bleu")
 
 
-@query()
+_both_ways = "ag AS (SELECT d, CASE d WHEN 1 THEN hyp ELSE ref END AS h0, CASE d WHEN 1 THEN ref ELSE hyp END AS r0 FROM ev, (VALUES (1), (2)) x(d) WHERE ref IS NOT NULL AND was_translated)"
+
+
+@query(f"WITH {EV}, {_both_ways}, {bleu_sql('h0', 'r0', 'ag', 'd,')}, {chrf_sql('h0', 'r0', 'ag', 'd,')} SELECT round(avg(bleu), 6) AS bleu, (SELECT round(avg(chrf), 6) FROM cf) AS chrf FROM bl")
 def agreement(s, d):
     return rounded(mt_metrics.agreement(evaluated(s, d).where("ref is not null"), "hyp", "ref", F.col("was_translated")), "bleu", "chrf")
 
 
-@query()
+def tokens_sql(x: str) -> str:
+    for a, b in (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        x = f"replace({x}, {quoted(a)}, {quoted(b)})"
+    x = f"(' ' || {x} || ' ')"
+    for p, to in ((r"([\{-~\[-` -&\(-\+:-@/])", r" \1 "), (r"([^0-9])([.,])", r"\1 \2 "), (r"([.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        x = f"regexp_replace({x}, {quoted(p)}, {quoted(to)}, 'g')"
+    return x
+
+
+@query(f"WITH {EV}, {_mt_rows}, m13 AS (SELECT model, {tokens_sql('hyp')} AS h0, {tokens_sql('ref')} AS r0 FROM mt), {bleu_sql('h0', 'r0', 'm13', 'model,')} SELECT model, round(bleu, 6) AS bleu FROM bl")
 def bleu_13a(s, d):
     return rounded(mt_metrics.bleu(evaluated(s, d).where("was_translated and ref is not null"), "hyp", "ref", ["model"], tokenize=True), "bleu")
 
@@ -648,10 +668,10 @@ def winner_sentiment(s, d):
     return rounded(winners.winner(_models(s, d), "model").select("model", "f1_macro", "accuracy"), "f1_macro", "accuracy", places=4)
 
 
-@query()
+@query(f"WITH {EV}, {_mt_rows}, {bleu_sql('hyp', 'ref', 'mt', 'model,')}, {chrf_sql('hyp', 'ref', 'mt', 'model,')}, n AS (SELECT model, count(*) AS n_translated, avg(translation_time_ms) AS ms FROM ev WHERE was_translated GROUP BY model) SELECT n.model, n_translated, round(ms, 6) AS avg_time_ms, round(bleu, 6) AS bleu, round(chrf, 6) AS chrf FROM n JOIN bl ON bl.model = n.model JOIN cf ON cf.model = n.model ORDER BY round(chrf, 4) DESC, round(bleu, 4) DESC, round(ms, 4), n.model LIMIT 1")
 def winner_translation(s, d):
     m = mt_metrics.evaluate_translation(evaluated(s, d), "hyp", "ref", ["model"])
-    return winners.winner(m.where("bleu is not null"), "model", winners.TRANSLATION)
+    return rounded(winners.winner(m.where("bleu is not null"), "model", winners.TRANSLATION).drop("comet"), "avg_time_ms", "bleu", "chrf")
 
 
 @query(_models_sql + ", un AS (SELECT model, unnest(['accuracy', 'f1_macro', 'f1_weighted']) AS metric, unnest([accuracy, f1_macro, f1_weighted]) AS value FROM mo) SELECT metric, model, round(value, 6) AS value FROM un")
@@ -766,7 +786,15 @@ def _words(texts: list[str], lang: str) -> list[str]:
     return [f"second try from {lang}" for _ in texts]
 
 
-@query()
+_first_try = "CASE WHEN length(post_text) % 7 = 0 THEN '' ELSE 'translated from ' || language || ': ' || left(lower(hex(encode(post_text))), 40) || ' text' END"
+_tries = f"todo AS (SELECT DISTINCT language, post_text FROM pipeline_result WHERE post_text IS NOT NULL AND language <> 'en' AND language IN {inlist(FLORES)}), raw AS (SELECT language, post_text, 1 AS k, post_text AS src, {_first_try} AS tgt FROM todo UNION ALL SELECT language, post_text, 2, post_text, 'second try from ' || language FROM todo)"
+
+
+@query(
+    f"WITH {gated(_tries, 'language, post_text, k')}, w AS (SELECT language, post_text, max(CASE WHEN k = 1 AND reason IS NULL THEN tgt END) AS one, max(CASE WHEN k = 2 AND reason IS NULL THEN tgt END) AS two FROM gated GROUP BY ALL) "
+    "SELECT r.result_id, CASE WHEN r.language = 'en' THEN 'bypass' WHEN r.language IS NULL OR r.language NOT IN " + inlist(FLORES) + " THEN 'passthrough' WHEN r.post_text IS NULL THEN NULL WHEN one IS NOT NULL THEN 'primary' ELSE 'secondary' END AS translation_backend, "
+    "CASE WHEN r.language = 'en' OR r.language IS NULL OR r.language NOT IN " + inlist(FLORES) + " THEN r.post_text ELSE coalesce(one, two) END AS english_text, CASE WHEN w.language IS NOT NULL AND one IS NULL AND two IS NULL THEN 'unusable' END AS failure FROM pipeline_result r LEFT JOIN w ON w.language = r.language AND w.post_text = r.post_text"
+)
 def translation_cascade(s, d):
     r = t(s, d, "pipeline_result").select("result_id", "language", "post_text")
     return models.translated(r, "post_text", "language", lambda: _upper, lambda: _words).select("result_id", "translation_backend", "english_text", "failure")
