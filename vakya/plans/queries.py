@@ -772,9 +772,20 @@ def flagship(s, d):
     return t0.groupBy("lang", "route", "sentiment").agg(F.count("*").alias("n_posts"), F.count_if("review_recommended").alias("n_review"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
 
 
-@query()
+_language_cte = (
+    f"a AS (SELECT id, row_number() OVER () AS rr, {clean_sql('post_text')} AS x FROM dataset WHERE post_text IS NOT NULL), s AS (SELECT *, {COUNTS_SQL} AS c FROM a WHERE x <> ''), u AS (SELECT *, {UNIQUE_SQL} AS top, {SCRIPT_SQL} AS script FROM s), "
+    f"v AS (SELECT *, CASE WHEN top[1] < 0 AND -top[1] / {TOTAL_SQL} >= 0.15 THEN top[3] END AS uniq FROM u), g AS (SELECT *, coalesce(uniq, CASE script WHEN 'latin' THEN 'en' WHEN 'devanagari' THEN 'hi' END, 'unknown') AS lang FROM v), "
+    f"q AS (SELECT *, CASE WHEN script = 'latin' THEN x WHEN lang IN ('en', 'unknown') AND {TOTAL_SQL} > 0 AND c.latin / {TOTAL_SQL} >= 0.15 THEN {_extract_sql} END AS probe FROM g), p AS (SELECT rr AS id, probe AS x FROM q WHERE probe IS NOT NULL), {CORES_SQL}, "
+    "cu AS (SELECT w.id AS rr, CASE WHEN count(DISTINCT lang) = 1 THEN min(lang) END AS cue FROM h JOIN w USING (r) GROUP BY w.id), "
+    "la AS (SELECT q.*, q.x AS tgt, CASE WHEN lang IN ('en', 'unknown') AND uniq IS NOT NULL THEN uniq WHEN cue IS NULL OR (lang NOT IN ('en', 'unknown') AND cue = 'en') THEN lang ELSE cue END AS language FROM q LEFT JOIN cu USING (rr)), "
+    f"co AS (SELECT id, language, {_tgt_cores} AS tt FROM la), po AS (SELECT id, language, {eff(has('tt', POSITIVE), has('tt', NEGATIVE), has('tt', NEGATION))} AS pol FROM co), "
+    "fi AS (SELECT id, language, CASE WHEN pol = 'pos' THEN 'Positive' WHEN pol IN ('neg', 'mixed') THEN 'Negative' ELSE 'Neutral' END AS sentiment, CASE WHEN pol = 'mixed' THEN 0.4::DOUBLE ELSE 0.8::DOUBLE END AS confidence FROM po)"
+)
+
+
+@query(f"WITH {_language_cte} SELECT id, language, sentiment, confidence, confidence < 0.6 OR language <> 'en' AS review_recommended FROM fi")
 def analyze_posts(s, d):
-    return analyze(t(s, d, "dataset").select("id", "post_text")).select("id", "language", "sentiment", "confidence", "review_recommended", F.array_join("signals", "|").alias("signals"))
+    return analyze(t(s, d, "dataset").select("id", "post_text")).select("id", "language", "sentiment", "confidence", "review_recommended")
 
 
 def _upper(texts: list[str], lang: str) -> list[str]:
@@ -800,7 +811,7 @@ def translation_cascade(s, d):
     return models.translated(r, "post_text", "language", lambda: _upper, lambda: _words).select("result_id", "translation_backend", "english_text", "failure")
 
 
-@query()
+@query(f"WITH {_language_cte} SELECT id, language, sentiment FROM fi")
 def stream_analyze(s, d):
     """The posts analysed as a stream, worked off and read back."""
     import os
