@@ -238,3 +238,6 @@ QUERIES = {
     "p8_found": lambda s, d: leaks(*_in(s, d)).select("doc_id", "item_id"),
     "p8_items": lambda s, d: leaks(*_in(s, d)).groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("near_words").alias("most_near_words")),
 }
+_grams_sql = lambda name, table, key: f"{name} AS (SELECT DISTINCT {key}, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}]+') AS w FROM {table} WHERE {key} IS NOT NULL AND text IS NOT NULL), range(1, len(w) - 11) t(k))"
+_leaks_sql = f"WITH {_grams_sql('d', 'documents', 'doc_id')}, {_grams_sql('i', 'eval_items', 'item_id')}, l AS (SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g))"
+SQL = {"p8_found": _leaks_sql + " SELECT doc_id, item_id FROM l"}
