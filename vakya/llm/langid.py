@@ -57,7 +57,7 @@ def words_in(text: str) -> list[tuple[str, int, int, bool]]:
     """(word in lower case, start, end, is a name) of the plain form, in order; what doesn't count is left out."""
     if SIGN.search(text) or " dot " in text or "[" in text or "(" in text:
         text = DISGUISED.sub(lambda m: " " * len(m[0]), text)
-    if HAS_STREET.search(text):
+    if HAS_STREET.search(text.lower()):
         text = ADDRESS.sub(lambda m: " " * len(m[0]), text)
     text = SKIP.sub(lambda m: " " * len(m[0]), text)
     out, last = [], 0
