@@ -21,35 +21,51 @@ SCRIPT_LANG = {"kannada": "kn", "malayalam": "ml", "tamil": "ta", "telugu": "te"
 
 # Romanised words that tell a language.
 CUES = {
-    "te": "chala undi nenu chalu bagunna ayyindi unnadi cheyandi ledu undhi unna emi enduku ipudu inka kaani kada gaa ani bagundi baagundi chestunnav nijam enti unnaru vallu ra assalu bagoledu chesaru kaadu kadu manchidi cheyyali",
-    "kn": "thumba", "ta": "romba irukku", "ml": "aanu", "mr": "aahe", "hi": "kharab bakwas bilkul",
+    "te": (
+        "chala", "undi", "nenu", "chalu", "bagunna", "ayyindi", "unnadi", "cheyandi", "ledu", "undhi", "unna", "emi", "enduku", "ipudu", "inka",
+        "kaani", "kada", "gaa", "ani", "bagundi", "baagundi", "chestunnav", "nijam", "enti", "unnaru", "vallu", "ra", "assalu", "bagoledu",
+        "chesaru", "kaadu", "kadu", "manchidi", "cheyyali",
+    ),
+    "kn": ("thumba",),
+    "ta": ("romba", "irukku"),
+    "ml": ("aanu",),
+    "mr": ("aahe",),
+    "hi": ("kharab", "bakwas", "bilkul"),
 }
-CUE_LANG = {w: lang for lang, ws in CUES.items() for w in ws.split()}
+CUE_LANG = {w: lang for lang, ws in CUES.items() for w in ws}
 # English words left in Latin letters.
-PRESERVED = tuple(
-    """a an the and or but if of to in on for with from at by as is are was were be been am not no yes this that these those it its
-    good bad very really so too just only now today zero help move scheme schemes village disappointing implementation promises meeting
-    wait see clarity customer care response perfect timing great job total waste money hospital services fee reimbursement thank you
-    outstanding work progress farmers power cuts please ok okay wow super best worst free food crowd rally success failed failure
-    use used useful useless improve improved better worse still never always cannot need needed should must waiting theatrical trailer
-    mass nice amazing awesome excellent terrible horrible poor love hate like update app service team crash crashed slow fast fix fixed
-    broken issue issues quality support login""".split()
-)
+PRESERVED = (
+    "a", "an", "the", "and", "or", "but", "if", "of", "to", "in", "on", "for", "with", "from", "at", "by", "as", "is", "are", "was", "were", "be",
+    "been", "am", "not", "no", "yes", "this", "that", "these", "those", "it", "its", "good", "bad", "very", "really", "so", "too", "just", "only",
+    "now", "today", "zero", "help", "move", "scheme", "schemes", "village", "disappointing", "implementation", "promises", "meeting", "wait", "see",
+    "clarity", "customer", "care", "response", "perfect", "timing", "great", "job", "total", "waste", "money", "hospital", "services", "fee",
+    "reimbursement", "thank", "you", "outstanding", "work", "progress", "farmers", "power", "cuts", "please", "ok", "okay", "wow", "super", "best",
+    "worst", "free", "food", "crowd", "rally", "success", "failed", "failure", "use", "used", "useful", "useless", "improve", "improved", "better",
+    "worse", "still", "never", "always", "cannot", "need", "needed", "should", "must", "waiting", "theatrical", "trailer", "mass", "nice", "amazing",
+    "awesome", "excellent", "terrible", "horrible", "poor", "love", "hate", "like", "update", "app", "service", "team", "crash", "crashed", "slow",
+    "fast", "fix", "fixed", "broken", "issue", "issues", "quality", "support", "login",
+)
 # Words with a native spelling of their own.
 TELUGU = {
     "chala": "చాలా", "chaala": "చాలా", "baga": "బాగా", "baaga": "బాగా", "bagundi": "బాగుంది", "baagundi": "బాగుంది", "undi": "ఉంది", "undhi": "ఉంది", "kaadu": "కాదు", "kadu": "కాదు",
     "ledu": "లేదు", "bagoledu": "బాగోలేదు", "assalu": "అస్సలు", "manchidi": "మంచిది", "chesaru": "చేశారు", "cheyyali": "చెయ్యాలి", "ayyindi": "అయ్యింది", "nenu": "నేను", "inka": "ఇంకా", "emi": "ఏమి",
 }
 URDU = {"teen": "تین", "din": "دن", "meh": "میں"}
-URDU_KEPT = tuple("mon monday tue tues tuesday wed wednesday thu thur thurs thursday fri friday sat saturday sun sunday".split())
+URDU_KEPT = (
+    "mon", "monday", "tue", "tues", "tuesday", "wed", "wednesday", "thu", "thur", "thurs", "thursday", "fri", "friday", "sat", "saturday", "sun",
+    "sunday",
+)
 
 # English words of polarity and negation; of a source text, and of a translation.
-SOURCE_POSITIVE = tuple("good best super great excellent love useful better".split())
-SOURCE_NEGATIVE = tuple("bad worst worse terrible horrible poor hate useless".split())
-SOURCE_NEGATION = tuple("not no never".split())
-POSITIVE = tuple("good well best better super great excellent amazing awesome nice love useful fine perfect wonderful happy glad positive".split())
-NEGATIVE = tuple("bad worst worse terrible horrible poor hate useless awful negative disappointing failed failure".split())
-NEGATION = tuple("not no never neither nor without none cannot cant".split())
+SOURCE_POSITIVE = ("good", "best", "super", "great", "excellent", "love", "useful", "better")
+SOURCE_NEGATIVE = ("bad", "worst", "worse", "terrible", "horrible", "poor", "hate", "useless")
+SOURCE_NEGATION = ("not", "no", "never")
+POSITIVE = (
+    "good", "well", "best", "better", "super", "great", "excellent", "amazing", "awesome", "nice", "love", "useful", "fine", "perfect", "wonderful",
+    "happy", "glad", "positive",
+)
+NEGATIVE = ("bad", "worst", "worse", "terrible", "horrible", "poor", "hate", "useless", "awful", "negative", "disappointing", "failed", "failure")
+NEGATION = ("not", "no", "never", "neither", "nor", "without", "none", "cannot", "cant")
 
 # Patterns of forwarded posts, spam and media placeholders.
 FORWARD = r"(?i)^{ws}*(?:>|RT{ws}+@|fwd:|forwarded(?:{ws}+message)?:)"

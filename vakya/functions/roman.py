@@ -29,7 +29,7 @@ def _cue(x: Column) -> Column:
     """The language that a word tells, if any."""
     out = F
     for lang, ws in CUES.items():
-        out = out.when(_in(x, ws.split()), lang)
+        out = out.when(_in(x, ws), lang)
     return out
 
 

@@ -166,6 +166,26 @@ def preserve_tokens(s, d):
     return w.select("core", roman.collapsed(F.col("core")).alias("collapsed"), roman.is_preserved(F.col("core")).alias("preserved"), "n")
 
 
+_canned = "v AS (SELECT o.id, x, n_cues, cue, resid, len(string_split(resid, ' ')) AS n_resid, CASE o.id % 5 WHEN 0 THEN 'hi' WHEN 1 THEN 'en' WHEN 2 THEN 'te' END AS top, o.id % 5 <> 2 AND o.id % 5 <> 4 AS sure, CASE WHEN n_cues >= 1 THEN CASE o.id % 5 WHEN 0 THEN 'hi' WHEN 2 THEN 'te' END END AS other, CASE WHEN n_cues >= 1 AND resid <> '' AND o.id % 2 = 0 THEN coalesce(cue, 'hi') END AS by_rest, CASE o.id % 3 WHEN 1 THEN 'en' WHEN 2 THEN 'ta' END AS bert FROM o)"
+
+
+@query(
+    f"WITH p AS (SELECT id, post_text AS x FROM dataset WHERE post_text IS NOT NULL), {CORES_SQL}, g AS (SELECT r, count(lang) AS n_cues, CASE WHEN count(DISTINCT lang) = 1 THEN min(lang) END AS cue FROM h GROUP BY r), e AS (SELECT r, string_agg(core, ' ' ORDER BY i) FILTER (length(core) > 1) AS resid FROM kept GROUP BY r), "
+    f"o AS (SELECT w.id, x, coalesce(n_cues, 0) AS n_cues, cue, coalesce(resid, '') AS resid FROM w LEFT JOIN g USING (r) LEFT JOIN e USING (r)), {_canned}, "
+    "z AS (SELECT *, CASE WHEN sure THEN top END AS first, coalesce(other, by_rest) AS rescue, n_cues = 0 AND CASE WHEN resid = '' THEN 0 ELSE n_resid END <= 4 AS short FROM v) "
+    "SELECT id, CASE WHEN trim(x) = '' THEN NULL WHEN first <> 'en' AND NOT short THEN coalesce(cue, first) WHEN bert <> 'en' AND NOT short THEN coalesce(cue, bert) WHEN bert IS NOT NULL AND (bert = 'en' OR short) THEN coalesce(rescue, 'en') "
+    "WHEN sure AND (first IS NULL OR first = 'en') THEN coalesce(rescue, CASE WHEN first = 'en' THEN 'en' END) WHEN sure THEN CASE WHEN short THEN 'en' ELSE first END ELSE rescue END AS language FROM z"
+)
+def roman_languages(s, d):
+    """The decision on Latin texts from canned scores of every kind, by id."""
+    of = lambda label, score: F.array(F.struct(F.lit(label).alias("label"), F.lit(score).alias("score")))
+    k = F.col("id") % 5
+    ranked = F.when(k == 0, of("hin_Latn", 0.9)).when(k == 1, of("eng_Latn", 0.8)).when(k == 2, of("tel_Latn", 0.4)).when(k == 3, of("snd_Latn", 0.7)).otherwise(F.array().cast("array<struct<label:string,score:double>>"))
+    bert = F.when(F.col("id") % 3 == 1, "eng_Latn").when(F.col("id") % 3 == 2, "tam_Latn")
+    rest = F.when(F.col("id") % 2 == 0, of("hin_Latn", 0.3)).otherwise(of("hin_Latn", 0.1))
+    return posts(s, d).select("id", roman.roman_language("x", ranked, bert, rest).alias("language"))
+
+
 _around = f"regexp_extract(w, {CORE_SQL}, 1) || {{}} || regexp_extract(w, {CORE_SQL}, 3)"
 _core = f"regexp_extract(w, {CORE_SQL}, 2)"
 _telugu = f"coalesce({case(TELUGU, f'lower({_core})')}, {case(TELUGU, once(_core))})"
