@@ -6,7 +6,7 @@ in addresses become the signs. Identifiers are found in the rewritten text, and
 source stays as it was, down to the character.
 
 Types: EMAIL, PHONE, ID_NUMBER, ADDRESS, NAME. Names are found where words introduce one, after titles and in contexts of persons, in
-contexts learned from the texts themselves (class Cues), where a given name and a surname of the gazetteer meet, and as items in
+contexts learned from all the texts themselves (class Cues), where a given name and a surname of the gazetteer meet, and as items in
 a row of personal data; words of shops and buildings beside them rule them out.
 
 A null text stays null and holds nothing, as a blank one; repeated rows count once; a gazetteer may be empty. The gazetteer is a small
@@ -17,15 +17,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vakya.llm.base import check_broadcast, deep_size, not_blank, table, word_pattern
+from vakya.llm.base import check_broadcast, deep_size, not_blank, release, table, word_pattern, written
 from vakya.llm.looks import both_texts, transducer
 
 TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
@@ -207,46 +208,84 @@ def _right(ws: list[str], j: int) -> list[tuple[str, ...]]:
     return out
 
 
+_simple = regex.compile(r"\p{L}[\p{L}\p{M}']*|[.!?;|\n।۔]|\d+|[@_-]")
+Context = tuple[tuple[str, ...], tuple[str, ...]]
+
+
+def unit_words(t: str) -> list[str]:
+    """The words of `units` without their places: faster where no dot follows a title or a letter, so that dots are signs only."""
+    ws = _simple.findall(t)
+    if any(b == "." and (len(a) == 1 and a.isalpha() or a.lower() in TITLES) for a, b in zip(ws, ws[1:])):
+        return [w for w, *_ in units(t)]
+    return [w.lower() if w[0].isalpha() else "#" if w[0].isdigit() or w in "@_-" else "$" for w in ws]
+
+
+def met(ws: list[str], given: set[str], surnames: set[str]) -> Iterator[tuple[Context, str]]:
+    """Contexts that a given name and a surname of the gazetteer stand in, and the name."""
+    for i, w in enumerate(ws):
+        if w in given or w in surnames:
+            j = i + 2 if i + 2 < len(ws) and len(ws[i + 1].strip(".")) == 1 else i + 1
+            if j < len(ws) and ((w in given and ws[j] in surnames) or (w in surnames and ws[j] in given)):
+                for a in _left(ws, i):
+                    for b in _right(ws, j + 1):
+                        if a[-1] not in "$#" or b[0] not in "$#":
+                            yield (a, b), " ".join(ws[i : j + 1])
+
+
 class Cues:
     """Contexts that names stand in, learned from texts and a gazetteer: what stands around a given name and a surname of the gazetteer, where
-    it does so for several names and what stands there mostly holds a word of the gazetteer."""
+    it does so for several names and what stands there mostly holds a word of the gazetteer. `learn_cues` learns the same from a table."""
 
     def __init__(self, texts: list[str], given: set[str], surnames: set[str], names: int = 3, share: float = 0.6) -> None:
-        self.at: dict[tuple[str, ...], set[tuple[str, ...]]] = {}
         known = given | surnames
-        letters = {c for w in known for c in w}  # a stretch in another script says nothing of a context
-        told = [[w for w, *_ in units(t)] for t in texts]
-        seen: dict[tuple, set[str]] = {}
+        letters = {c for w in known for c in w}
+        told = [*map(unit_words, texts)]
+        seen: dict[Context, set[str]] = {}
         for ws in told:
-            for i, w in enumerate(ws):
-                if w in known:
-                    j = i + 2 if i + 2 < len(ws) and len(ws[i + 1].strip(".")) == 1 else i + 1
-                    if j < len(ws) and ((w in given and ws[j] in surnames) or (w in surnames and ws[j] in given)):
-                        for a in _left(ws, i):
-                            for b in _right(ws, j + 1):
-                                if a[-1] not in "$#" or b[0] not in "$#":
-                                    seen.setdefault((a, b), set()).add(" ".join(ws[i : j + 1]))
-        for (a, b), of in seen.items():
-            if len(of) >= names:
-                self.at.setdefault(a, set()).add(b)
-        count: dict[tuple, list[int]] = {}
+            for c, name in met(ws, given, surnames):
+                seen.setdefault(c, set()).add(name)
+        self._take(c for c, of in seen.items() if len(of) >= names)
+        count: dict[Context, list[int]] = {}
         for ws in told:
-            for i, j, a, b in self.found(ws):
-                if letters.isdisjoint("".join(ws[i:j])):
-                    continue
-                n = count.setdefault((a, b), [0, 0])
-                n[0] += not known.isdisjoint(ws[i:j])
-                n[1] += 1
-        self.at = {a: {b for b in bs if (n := count.get((a, b))) and n[0] >= share * n[1]} for a, bs in self.at.items()}
-        self.at = {a: bs for a, bs in self.at.items() if bs}
+            self.tally(ws, known, letters, count)
+        self._take(c for c, n in count.items() if n[0] >= share * n[1])
+
+    @classmethod
+    def of(cls, contexts: Iterable[Context]) -> Cues:
+        self = cls.__new__(cls)
+        self._take(contexts)
+        return self
+
+    def _take(self, contexts: Iterable[Context]) -> None:
+        self.at: dict[tuple[str, ...], set[tuple[str, ...]]] = {}
         # A text in such a context has the words on either side of it; a sign says no more than the other side.
-        sides = [[w.strip(".") for w in (a[-1], b[0]) if w not in "$#"] for a, bs in self.at.items() for b in bs]
-        self.ends = sorted({(x[0], x[-1]) for x in sides})
+        self.ends: dict[str, set[str]] = {}
+        for a, b in contexts:
+            self.at.setdefault(a, set()).add(b)
+            x = [w.strip(".") for w in (a[-1], b[0]) if w not in "$#"]
+            self.ends.setdefault(x[0], set()).add(x[-1])
+        self.firsts = frozenset(self.ends)
+        self.before = frozenset(a[-1] for a in self.at)
+
+    def may_be_in(self, words: set[str]) -> bool:
+        """Whether a text of these words can have such a context."""
+        return any(not words.isdisjoint(self.ends[w]) for w in words & self.firsts)
+
+    def tally(self, ws: list[str], known: set[str], letters: set[str], count: dict[Context, list[int]]) -> None:
+        """Add, for each context, the stretches in it that hold a word of the gazetteer and all of them."""
+        for i, j, a, b in self.found(ws):
+            if letters.isdisjoint("".join(ws[i:j])):  # a stretch in another script says nothing of a context
+                continue
+            n = count.setdefault((a, b), [0, 0])
+            n[0] += not known.isdisjoint(ws[i:j])
+            n[1] += 1
 
     def found(self, ws: list[str]):
         """(i, j, before, after) of the stretches of two to four words in such a context, the shortest first."""
+        last = "$"
         for i, w in enumerate(ws):
-            if w in "$#":
+            before, last = last, w
+            if before not in self.before or w in "$#":
                 continue
             for a in _left(ws, i):
                 if bs := self.at.get(a):
@@ -259,6 +298,8 @@ class Cues:
 
     def names(self, t: str) -> Iterator[tuple[int, int, bool]]:
         """(start, end, whether two words on either side say so)."""
+        if not any(True for _ in self.found(unit_words(t))):
+            return
         of = units(t)
         last = -1
         every = sorted(self.found([w for w, *_ in of]), key=lambda x: (x[0], x[1], -len(x[2]) - len(x[3])))
@@ -353,7 +394,7 @@ def _names(t: str, given: set[str], surnames: set[str], taken: list[tuple[int, i
             words = m["name"].lower().split()
             if cased and words[-1] not in shops and words[0].strip(".") not in NOT_NAMES and free(*m.span("name")):
                 out.append(m.span("name"))
-    if any(a in present and b in present for a, b in cues.ends):
+    if cues.may_be_in(present):
         for a, b, sure in cues.names(t):
             words = t[a:b].split()
             name = sure or any(w.lower().strip(".") in given or w.lower().strip(".") in surnames for w in words) or not cased or all(w[0].upper() == w[0] for w in words)
@@ -456,19 +497,56 @@ def _gazetteer(names: DataFrame) -> tuple[set[str], set[str]]:
     return given, surnames
 
 
-def learn_cues(texts: DataFrame, given: set[str], surnames: set[str], sample: int = 40_000) -> Cues:
-    """Contexts of names from about `sample` of the texts, chosen by a hash of their key; what is learned serves all."""
-    n = texts.count()
-    part = texts.where(F.pmod(F.xxhash64("src", "key", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(1, n))))
-    rows = part.where("text is not null").select("text").distinct().limit(2 * sample).toArrow().column(0).to_pylist()
-    return Cues([*map(without_addresses, sorted(rows))], given, surnames)
+def _met(batches: Iterator[pa.RecordBatch], given: set[str], surnames: set[str]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seen: set[tuple[str, str, str]] = set()
+        for text in {*batch.column(0).to_pylist()}:
+            ws = unit_words(without_addresses(text))
+            if not given.isdisjoint(ws) and not surnames.isdisjoint(ws):
+                seen.update((" ".join(a), " ".join(b), name) for (a, b), name in met(ws, given, surnames))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in seen], pa.string()) for k in range(3)], names=["a", "b", "name"])
+
+
+def _tallies(batches: Iterator[pa.RecordBatch], contexts: list[Context], known: set[str]) -> Iterator[pa.RecordBatch]:
+    """A row for a text: its hash, the places of its contexts in the list, and the two counts of `Cues.tally` for each."""
+    cues, ids, letters = Cues.of(contexts), {c: k for k, c in enumerate(contexts)}, {c for w in known for c in w}
+    for batch in batches:
+        out: list[tuple[bytes, list[dict[str, int]]]] = []
+        for text in {*batch.column(0).to_pylist()}:
+            count: dict[Context, list[int]] = {}
+            cues.tally(unit_words(without_addresses(text)), known, letters, count)
+            if count:
+                out.append((xxhash.xxh3_128_digest(text), [{"id": ids[c], "hits": n[0], "n": n[1]} for c, n in count.items()]))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.list_(pa.struct([("id", pa.int32()), ("hits", pa.int32()), ("n", pa.int32())])))], names=["text", "counts"])
+
+
+def learn_cues(texts: DataFrame, given: set[str], surnames: set[str], names: int = 3, share: float = 0.6, block: int = 100_000) -> Cues:
+    """What `Cues` learns from all the different texts, in two passes over the table: contexts that several names stand in, then how
+    often these hold a word of the gazetteer. The second pass takes `block` contexts at a time, so what is broadcast is bounded."""
+    if not given or not surnames:
+        return NO_CUES
+    texts = texts.where("text is not null").select("text")
+    seen = texts.mapInArrow(partial(_met, given=given, surnames=surnames), "a string, b string, name string").distinct()
+    several = written(seen.groupBy("a", "b").count().where(F.col("count") >= names).select("a", "b"))
+    blocks = -(-several.count() // block)
+    good: list[Context] = []
+    for k in range(blocks):
+        part = several.where(F.pmod(F.xxhash64("a", "b"), F.lit(blocks)) == k)
+        contexts = sorted((tuple(r["a"].split(" ")), tuple(r["b"].split(" "))) for r in part.collect())
+        rows = texts.mapInArrow(partial(_tallies, contexts=contexts, known=given | surnames), "text binary, counts array<struct<id: int, hits: int, n: int>>")
+        sums = rows.dropDuplicates(["text"]).select(F.explode("counts").alias("c")).groupBy("c.id").agg(F.sum("c.hits").alias("hits"), F.sum("c.n").alias("n"))
+        good += [contexts[r["id"]] for r in sums.where(F.col("hits") >= F.lit(share) * F.col("n")).collect()]
+    release(several)
+    return Cues.of(sorted(good))
 
 
 def without_addresses(text: str) -> str:
     """The rewritten text, its mail addresses cut out, as names in them tell nothing of contexts."""
     s = Spans(text)
-    s.rewrite(DISGUISED, _address)
-    return EMAIL.sub("|", s.text)
+    low = s.text.lower()
+    if "@" in low or ("at" in low and ("dot" in low or AT.search(low))):  # all that DISGUISED needs
+        s.rewrite(DISGUISED, _address)
+    return EMAIL.sub("|", s.text) if "@" in s.text else s.text
 
 
 def _run(batches: Iterator[pa.RecordBatch], given: set[str], surnames: set[str], cues: Cues) -> Iterator[pa.RecordBatch]:
